@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +55,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def extended(schema: T.StructType, **columns: str) -> T.StructType:
+    """A copy of the schema with more columns, by name and simple type."""
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
+    return T.StructType([*schema.fields, *(T.StructField(k, kinds[v]) for k, v in columns.items())])

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TextTrellis, byte_symbols, common_prefix, read_word_bpe, split_suffix
+from .shared import extended
 from .textkernel import span_hashes, tune
 
 CHUNK = 1 << 18
@@ -284,8 +285,8 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", count: str
     unchanged; a column named like ``count`` is replaced.
     """
     tune(df.sparkSession)
-    schema = df.drop(count).schema.add(count, "long")
     kept = df.drop(count)
+    schema = extended(kept.schema, **{count: "long"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
