@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, language_model, token_counts, toxicity
+from . import jaccard_join, language_id, language_model, token_counts, toxicity
 from .shared import table
 
 
@@ -17,6 +17,10 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.query(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.query(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
