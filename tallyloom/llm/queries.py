@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, language_model, token_counts, topk_search, toxicity
+from . import jaccard_join, language_id, language_model, token_counts, topk_search, toxicity, warc
 from .shared import table
 
 
@@ -13,6 +13,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.query(table(spark, sf_dir, "documents"))
 
@@ -38,4 +42,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk_search": topk_search.SQL}
+    return {"op3_warc": warc.SQL, "op8_topk_search": topk_search.SQL}
