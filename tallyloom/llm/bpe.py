@@ -25,28 +25,31 @@ class Trellis:
     def __init__(self, tokens: dict[int, tuple[str, ...]], ranks: dict[tuple[int, int], tuple[int, int]]):
         self.ranks = ranks
         self.made: dict[int, tuple[int, int, int]] = {}
-        for (a, b), (rank, out) in ranks.items():
-            if out not in self.made or rank < self.made[out][0]:
-                self.made[out] = (rank, a, b)
-        self.base = {v[0]: k for k, v in tokens.items() if len(v) == 1 and k not in self.made}
+        self.base = {v[0]: k for k, v in tokens.items() if len(v) == 1}
         self.ids: dict[tuple[str, ...], int] = {}
         self.longest = 1
         self.fits_memo: dict[tuple[int, int], bool] = {}
         for k, v in tokens.items():
-            if len(v) == 1 or self.merge([self.base.get(x, -1) for x in v]) == [k]:
+            if len(v) == 1:
                 self.ids[v] = k
-                self.longest = max(self.longest, len(v))
-
-    def merge(self, ids: list[int]) -> list[int]:
-        """Plain merging, best rank first and leftmost among equals; for short inputs."""
-        ids = list(ids)
+            elif all(x in self.base for x in v):
+                # Only tokens that merging can reach; the last merge made tells how.
+                ids, last = self.merge([self.base[x] for x in v])
+                if ids == [k]:
+                    self.ids[v], self.made[k] = k, last
+                    self.longest = max(self.longest, len(v))
+
+    def merge(self, ids: list[int]) -> tuple[list[int], tuple[int, int, int]]:
+        """Plain merging, best rank first and leftmost among equals, for short inputs: (ids, last merge)."""
+        ids, last = list(ids), (0, 0, 0)
         while len(ids) > 1:
             best = min((self.ranks[p][0], i) if (p := (ids[i], ids[i + 1])) in self.ranks else (1 << 60, i) for i in range(len(ids) - 1))
             if best[0] == 1 << 60:
                 break
             i = best[1]
+            last = (best[0], ids[i], ids[i + 1])
             ids[i : i + 2] = [self.ranks[ids[i], ids[i + 1]][1]]
-        return ids
+        return ids, last
 
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE keeps these two neighbours apart."""
@@ -75,16 +78,6 @@ class Trellis:
             else:
                 until, right = (b[0], 2), b[1]
 
-    def step(self, symbols: list[str], last: list[int], ids: dict | None = None) -> int:
-        """Id of the last token of ``symbols``, given those of all shorter prefixes."""
-        ids = self.ids if ids is None else ids
-        n = len(symbols)
-        for size in range(min(n, self.longest), 0, -1):
-            token = ids.get(tuple(symbols[n - size :]))
-            if token is not None and (n == size or self.fits(last[n - size - 1], token)):
-                return token
-        raise ValueError("no token ends here")
-
 
 class TextTrellis(Trellis):
     """The same over plain strings: one character a symbol, with a faster step."""
@@ -92,6 +85,7 @@ class TextTrellis(Trellis):
     def __init__(self, tokens, ranks):
         super().__init__(tokens, ranks)
         self.by_text = {"".join(k): v for k, v in self.ids.items()}
+        self.sizes = {v: len(k) for k, v in self.by_text.items()}
 
     def step_text(self, text: str, n: int, last: list[int]) -> int:
         by_text, fits = self.by_text, self.fits

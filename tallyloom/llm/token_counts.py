@@ -107,12 +107,12 @@ class Transducer:
             del self.path[same:], self.last[same:], self.counts[same:]
             for n in range(same + 1, len(body) + 1):
                 token = step(body, n, self.last)
-                before = n - len_of(self.trellis, token)
+                before = n - self.trellis.sizes[token]
                 self.last.append(token)
                 self.counts.append(1 + (self.counts[before - 1] if before else 0))
                 self.path.append(body[n - 1])
             token = step(body + self.ends[text[-1]], len(text), self.last)
-            before = len(text) - len_of(self.trellis, token)
+            before = len(text) - self.trellis.sizes[token]
             out.append(1 + (self.counts[before - 1] if before else 0))
         return out
 
@@ -139,13 +139,6 @@ class Transducer:
         return got[back]
 
 
-def len_of(trellis: TextTrellis, token: int) -> int:
-    sizes = trellis.__dict__.get("sizes")
-    if sizes is None:
-        sizes = trellis.sizes = {v: len(k) for k, v in trellis.by_text.items()}
-    return sizes[token]
-
-
 def split_words(joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code points, starts, ends) of the words in normalised text."""
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
