@@ -123,6 +123,20 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a for a, _ in blobs], pa.binary()), pa.array([b for _, b in blobs], pa.binary())], ["doc_id", "label", "features", "counts"])
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fit on the whole bounded sample in one task; the driver gets one number for each bucket."""
+    data = []
+    for batch in batches:
+        for doc, label, features, counts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "features", "counts")), strict=True):
+            key, times = np.frombuffer(features, "<u4"), np.frombuffer(counts, "<u4").astype(np.float32)
+            if len(key):
+                data.append((doc, key, times / (times.sum() + NEUTRAL), label))
+    data = [x[1:] for x in sorted(data, key=lambda x: x[0])]
+    ones = sum(x[2] for x in data)
+    scores, bias = train(data).bucket_scores() if 0 < ones < len(data) else (np.zeros(0), 0.0)
+    yield pa.RecordBatch.from_arrays([pa.array([scores.astype("<f4").tobytes()], pa.binary()), pa.array([bias]), pa.array([ones]), pa.array([len(data)])], ["scores", "bias", "ones", "n"])
+
+
 class Model:
     def __init__(self, scores: np.ndarray, bias: float):
         self.scores, self.bias = scores, bias
@@ -146,17 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     order = F.xxhash64("doc_id")
     chosen = clean.where("label = 1").orderBy(order, "doc_id").limit(size).unionByName(clean.where("label = 0").orderBy(order, "doc_id").limit(size))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 x size rows at most
-    rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).mapInArrow(_featurise, "doc_id long, label int, features binary, counts binary").collect()
-    data = []
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        key, times = np.frombuffer(r.features, "<u4"), np.frombuffer(r.counts, "<u4").astype(np.float32)
-        if len(key):
-            data.append((key.astype(np.int64), times / (times.sum() + NEUTRAL), r.label))
-    ones = sum(x[2] for x in data)
-    if not 0 < ones < len(data):
+    rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).mapInArrow(_featurise, "doc_id long, label int, features binary, counts binary")
+    found = rows.repartition(1).mapInArrow(_train, "scores binary, bias double, ones long, n long").collect() if share is not None else []
+    if not found or not found[0].scores:
         return Model(np.zeros(SIZE, np.float32), 30.0 if share else -30.0)
-    scores, bias = train(data).bucket_scores()
-    return Model(scores.astype(np.float32), bias + float(np.log(share / (1 - share)) - np.log(ones / (len(data) - ones))))
+    r = found[0]
+    return Model(np.frombuffer(r.scores, "<f4"), r.bias + float(np.log(share / (1 - share)) - np.log(r.ones / (r.n - r.ones))))
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
