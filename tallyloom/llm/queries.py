@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, language_model, pieces, token_counts, topk_search, toxicity, warc
+from . import decontaminate, jaccard_join, language_id, language_model, pieces, token_counts, topk_search, toxicity, warc
 from .shared import table
 
 
@@ -13,6 +13,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(table(spark, sf_dir, "pages"))
 
