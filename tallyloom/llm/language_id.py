@@ -131,8 +131,10 @@ def sample(train: DataFrame, size: int) -> DataFrame:
     if not langs:
         return marked.limit(0)
     each = max(1, size // len(langs))
-    order = W.partitionBy("lang").orderBy("mark")
-    cuts = marked.select("lang", "mark").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).groupBy("lang").agg(F.max("mark").alias("cut")).where(F.col("lang").isin(langs)).collect()
+    # The least marks of each salt, then of each language, so that no task sorts a whole language.
+    first = lambda df, *by: df.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("mark"))).where(F.col("n") <= each).drop("n")
+    salted = first(marked.select("lang", "mark").withColumn("salt", F.pmod("mark", F.lit(64))), "lang", "salt")
+    cuts = salted.groupBy("lang", "salt").agg(F.sort_array(F.collect_list("mark")).alias("marks")).groupBy("lang").agg(F.flatten(F.collect_list("marks")).alias("marks")).where(F.col("lang").isin(langs)).select("lang", F.array_max(F.slice(F.sort_array("marks"), 1, each)).alias("cut")).collect()
     within = F.lit(False)
     for r in cuts:
         within = within | ((F.col("lang") == r.lang) & (F.col("mark") <= r.cut))
