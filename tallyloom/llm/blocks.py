@@ -19,21 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
 
-from .shared import stored
+from .shared import stable
 from .textkernel import pack_counts, pack_sorted, slices, unpack_counts, unpack_sorted, utf8
 
 BLOCK_BYTES = 8 << 20
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df itself if its rows come from a scan in fixed order, else a written copy."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    scans_only = all(line.split("+- ")[-1].strip().split(" ")[0] in ("Project", "Filter", "Relation", "LocalRelation", "") for line in plan.splitlines())
-    return df if scans_only else stored(df, "input")
-
-
 class Blocks:
     """Names the block of each row; one per task, fed batch by batch."""
 

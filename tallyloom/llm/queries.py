@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, language_model, pieces, token_counts, topk_search, toxicity, warc
+from . import decontaminate, jaccard_join, language_id, language_model, pieces, pii, token_counts, topk_search, toxicity, warc
 from .shared import table
 
 
@@ -21,6 +21,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(table(spark, sf_dir, "pages"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.query(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 

@@ -45,14 +45,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a new table in the shared folder and read it back: smaller than a checkpoint, and columns prune."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df itself if its rows come from a scan in fixed order, else a written copy."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    scans_only = all(line.split("+- ")[-1].strip().split(" ")[0] in ("Project", "Filter", "Relation", "LocalRelation", "") for line in plan.splitlines())
+    return df if scans_only else stored(df, "input")
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
