@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Scalar functions, as Column -> Column."""

@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Declared schemas and committed reference dimensions."""
