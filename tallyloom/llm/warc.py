@@ -19,7 +19,6 @@ first. Null ids count as the largest. Extra columns are ignored; no page, no fil
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import stored, temporary
 from .textkernel import tune
 
 CRLF = "\r\n"
@@ -37,6 +36,7 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 PAGES_PER_FILE = 2000
+BROADCAST_ROWS = 100_000
 RECORD = "kind string, record_id string, concurrent_to string, refers_to string, target string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
 
 
@@ -58,24 +58,35 @@ def name_of(kind: str, page: Column, number: Column) -> Column:
 def captures(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, number, url, html, digest, and for revisits the page that they refer to.
 
-    Page texts are shuffled once, by id; only digests that occur again are grouped,
-    after partial aggregation, and joined back.
+    Digests are grouped without the texts. Texts move only to meet the marks of pages
+    whose payload occurs again, by (page, digest), so a payload that is everywhere is
+    no hot key; up to BROADCAST_ROWS marks are sent to the texts instead. Only rows
+    that repeat a page and payload are numbered, by a window over them alone.
     """
     html, url = F.coalesce("html", F.lit("")), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    rows = rows.withColumn("number", F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url")) - 1)
-    key = F.struct(F.col("page_id").isNull(), "page_id", "number")
-    firsts = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.col("first.number").alias("first_number"))
-    out = rows.join(firsts, "digest", "left")
-    again = F.col("first_number").isNotNull() & ~(F.col("first_page").eqNullSafe(F.col("page_id")) & (F.col("first_number") == F.col("number")))
-    return out.withColumn("revisit", again)
+    pairs = rows.select("page_id", "digest", (F.octet_length("html") >= least).alias("large")).groupBy("page_id", "digest", "large").agg(F.count("*").alias("copies"))
+    firsts = pairs.where("large").groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id")).alias("first"), F.sum("copies").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.lit(True).alias("again"))
+    marks = pairs.join(firsts, "digest", "left").where("again or copies > 1").select(F.col("page_id").alias("of"), F.col("digest").alias("payload"), "first_page", "again", "copies")
+    marks = stored(marks, "marks")
+    few = marks.count() <= BROADCAST_ROWS
+    known = lambda m: F.broadcast(m) if few else m
+    marked = rows.join(known(marks), F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("payload")), "left").drop("of", "payload")
+    if marks.where("copies > 1").isEmpty():
+        marked = marked.withColumn("number", F.lit(0))
+    else:
+        order = W.partitionBy("page_id", "digest").orderBy("url")
+        repeats = marked.where("copies > 1").withColumn("number", F.row_number().over(order) - 1)
+        marked = marked.where("copies is null or copies = 1").withColumn("number", F.lit(0)).unionByName(repeats)
+    first = F.col("first_page").eqNullSafe(F.col("page_id")) & (F.col("number") == 0)
+    return marked.withColumn("revisit", F.coalesce(F.col("again") & ~first, F.lit(False)))
 
 
 def write(pages: DataFrame, path: str, least: int = 100) -> None:
     """Write the captures of ``pages`` (page_id, url, html) as gzip WARC files under ``path``."""
     c = captures(pages, least)
     number = F.concat_ws("-", "digest", "number")
-    own, first = name_of("response", F.col("page_id"), number), name_of("response", F.col("first_page"), F.concat_ws("-", "digest", "first_number"))
+    own, first = name_of("response", F.col("page_id"), number), name_of("response", F.col("first_page"), F.concat_ws("-", "digest", F.lit("0")))
     target, digest = ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     beside = ("WARC-Concurrent-To", F.concat(F.lit("<"), own, F.lit(">")))
     status = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "
@@ -171,21 +182,29 @@ def records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 def transactions(found: DataFrame) -> DataFrame:
     """One nested row for each capture: its response or revisit, with request, metadata and the record referred to.
 
-    Responses without request or metadata keep nulls there; of several, the least id is taken.
+    The three records of a capture meet under the identifier that they are concurrent
+    to, in one shuffle; where they lie together in an archive they are joined before
+    it. Requests or metadata whose response is missing give no row; of several of one
+    kind, the least id is taken. The result is kept in the shared folder, since
+    revisits look up the captures that they refer to.
     """
-    capture = found.where(F.col("kind").isin("response", "revisit")).select("record_id", F.struct("kind", "target", "payload_digest", "payload_bytes", "payload", "refers_to").alias("response"))
-    beside = lambda kind, *cols: found.where((F.col("kind") == kind) & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min_by(F.struct("record_id", "target", *cols), "record_id").alias(kind))
-    joined = capture.join(beside("request"), "record_id", "left").join(beside("metadata", "fields"), "record_id", "left")
-    # Only revisits look up the record that they refer to; a popular one is one row joined to many.
-    asked = joined.where("response.refers_to is not null").withColumn("refers_to", F.col("response.refers_to"))
-    origin = joined.where("response.kind = 'response'").select(F.col("record_id").alias("refers_to"), F.struct(F.col("record_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("metadata.fields").alias("fields")).alias("origin"))
-    plain = joined.where("response.refers_to is null").withColumn("origin", F.lit(None).cast(origin.schema["origin"].dataType))
+    one = lambda *kinds, cols: F.min_by(F.struct(*cols), F.when(F.col("kind").isin(*kinds), F.col("record_id")))
+    joined = found.withColumn("capture", F.when(F.col("kind").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))).where("capture is not null")
+    joined = joined.groupBy("capture").agg(
+        one("response", "revisit", cols=("kind", "target", "payload_digest", "payload_bytes", "payload", "refers_to")).alias("response"),
+        one("request", cols=("record_id", "target")).alias("request"),
+        one("metadata", cols=("record_id", "target", "fields")).alias("metadata"),
+    )
+    kept = stored(joined.where("response is not null").withColumnRenamed("capture", "record_id"), "transactions")
+    asked = kept.where("response.refers_to is not null").withColumn("refers_to", F.col("response.refers_to"))
+    origin = kept.where("response.kind = 'response'").select(F.col("record_id").alias("refers_to"), F.struct(F.col("record_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("metadata.fields").alias("fields")).alias("origin"))
+    plain = kept.where("response.refers_to is null").withColumn("origin", F.lit(None).cast(origin.schema["origin"].dataType))
     return plain.unionByName(asked.join(origin, "refers_to", "left").drop("refers_to"))
 
 
 def query(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    path = temporary(spark, "archives")
     write(pages, path)
     t = transactions(records(spark, path, payloads=False))
     page = lambda fields: F.when(fields["page_id"] != "", fields["page_id"]).cast("long")

@@ -1,7 +1,7 @@
 import hashlib
 
 from tallyloom.llm import warc
-from tallyloom.llm.shared import shared_dir
+from tallyloom.llm.shared import temporary
 
 LONG = "<p>x</p>" * 40
 TRICKY = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\n" * 5 + "é\x00\n"
@@ -22,7 +22,7 @@ def test_round_trip_and_revisits(spark):
 
 def test_repeated_rows_and_payloads(spark):
     rows = [(1, "a", LONG), (1, "a", LONG), (1, "b", "tiny"), (1, "b", "tiny")]
-    path = f"{shared_dir(spark)}/warc-test"
+    path = temporary(spark, "warc-test")
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
     found = warc.records(spark, path)
     assert found.count() == 12
