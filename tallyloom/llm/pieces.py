@@ -19,16 +19,18 @@ itself decodes as a space, as in the library. Repeated rows are encoded alike.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import TextTrellis, common_prefix
+from .shared import extended
 from .textkernel import _powers, mix, tune
 
 MARK = "▁"
@@ -58,8 +60,11 @@ class Codec:
         self.runs = sorted((len(v) for v in by_text if set(v) == {MARK}), reverse=True)
         self.run_id = {len(v): k for v, k in by_text.items() if set(v) == {MARK}}
         self.scores = scores
-        self.surface = {i: v.encode() for i, v in pieces.items()}
-        self.surface |= {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+        surface = {i: v.encode() for i, v in pieces.items()} | {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+        table = [surface.get(i, b"") for i in range(n)]
+        self.surface_sizes = np.array([len(x) for x in table], np.int64)
+        self.surface_begins = np.cumsum(self.surface_sizes) - self.surface_sizes
+        self.surface = np.frombuffer(b"".join(table), np.uint8)
         self.path, self.last, self.forward = "", [], []
         self.keys, self.begins, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
@@ -109,7 +114,7 @@ class Codec:
 
     def _table(self, keys: np.ndarray, words: list[str]) -> None:
         """Encode new words and add them to the table."""
-        if len(self.flat) > 16_000_000:  # bounded memory; words come back when met again
+        if len(self.flat) > 8_000_000:  # bounded memory; words come back when met again
             self.keys, self.begins, self.sizes, self.flat = self.keys[:0], self.begins[:0], self.sizes[:0], self.flat[:0]
         order = sorted(range(len(words)), key=words.__getitem__)
         found = list(self.encode_sorted([words[k] for k in order]))
@@ -145,7 +150,7 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
         if len(new):
-            if len(self.flat) > 16_000_000:
+            if len(self.flat) > 8_000_000:
                 new = np.arange(len(distinct))
             spots = first[new]
             words = [data[a:b].decode("utf-8", "surrogatepass").replace(" ", MARK) for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)]
@@ -157,10 +162,15 @@ class Codec:
         ids = self.flat[np.repeat(self.begins[which] - before[:-1], sizes) + np.arange(before[-1])].astype(np.int32)
         return ids, before[np.searchsorted(starts, offsets)]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of a sequence of ids; damaged byte sequences become replacement characters."""
-        text = b"".join([self.surface.get(i, b"") for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, flat: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of sequences of ids; ids without a piece are skipped, damaged byte sequences become replacement characters."""
+        flat = np.where((flat >= 0) & (flat < len(self.surface_sizes)), flat, 0)
+        sizes = self.surface_sizes[flat]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        data = self.surface[np.repeat(self.surface_begins[flat] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = ends[offsets].tolist()
+        texts = [data[a:b].decode("utf-8", "replace").replace(MARK, " ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -204,15 +214,41 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [codec(model).decode(x or []) for x in batch.column(ids).to_pylist()]
+            lists = pc.fill_null(batch.column(ids), [])
+            flat = pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets = np.concatenate(([0], np.cumsum(sizes)))
+            found = []
+            for lo in range(0, batch.num_rows, 200):
+                own = offsets[lo : lo + 201]
+                found += codec(model).decode(flat[own[0] : own[-1]], own - own[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, text])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))
 
 
+def digest(df: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """df without the text, with n_pieces, ids_sha256 (of the ids as four-byte little-endian numbers) and round_trip.
+
+    Encodes and decodes each text in one pass, so that ids don't leave the task.
+    """
+    tune(df.sparkSession)
+    kept = df.drop("n_pieces", "ids_sha256", "round_trip")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            for lo, hi in _slices(texts):
+                flat, offsets = codec(model).encode(texts[lo:hi])
+                back = codec(model).decode(flat, offsets)
+                sums = [hashlib.sha256(flat[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                same = [(t or "") == b for t, b in zip(texts[lo:hi], back, strict=True)]
+                own = {n: c.slice(lo, hi - lo) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != text}
+                yield pa.RecordBatch.from_arrays([*own.values(), pa.array(np.diff(offsets)), pa.array(sums), pa.array(same)], [*own, "n_pieces", "ids_sha256", "round_trip"])
+
+    return kept.mapInArrow(run, extended(kept.drop(text).schema, n_pieces="long", ids_sha256="string", round_trip="boolean"))
+
+
 def query(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of the ids, comma-joined) and round_trip of each document."""
-    rows = encode(docs.select("doc_id", "text"), model)
-    found = decode(rows, model)
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    """doc_id, n_pieces, ids_sha256 and round_trip of each document."""
+    return digest(docs.select("doc_id", "text"), model)
