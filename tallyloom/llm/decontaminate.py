@@ -212,6 +212,9 @@ class Index:
 
     def check(self, p: int, around: list[int]) -> tuple[float, float]:
         """(best overlap, share of the answer there) over stretches a bit longer than the passage."""
+        answer = self.answers[p]
+        if len(answer.intersection(around)) < ANSWER * len(answer):
+            return 0.0, 0.0  # the answer is nowhere near, so no stretch has it
         words = self.words[p].tolist()
         n = len(words)
         size, best = n + n // 3 + 2, (0.0, 0.0)
@@ -222,10 +225,12 @@ class Index:
             end = min(len(around), begin + size)
             if hits[end] - hits[begin] < need:
                 continue
-            found = lcs(words, around[begin:end])
-            if found >= need:
-                stretch = set(around[begin:end])
-                best = max(best, (found / n, len(self.answers[p] & stretch) / len(self.answers[p])))
+            stretch = around[begin:end]
+            share = len(answer.intersection(stretch)) / len(answer)
+            if share >= ANSWER and (found := lcs(words, stretch)) >= need:
+                best = max(best, (found / n, share))
+                if found == n:
+                    break
         return best
 
     def search(self, raw: np.ndarray, offsets: np.ndarray) -> dict[int, list[dict]]:
@@ -251,6 +256,7 @@ class Index:
             return {}
         bounds = np.append(cut, len(words))
         out: dict[int, list[dict]] = {}
+        whole: set[tuple[int, int]] = set()  # found word for word; other windows can't add to it
         for lo in range(0, len(cells), 4096):
             some = cells[lo : lo + 4097]  # one more, for the last window's second half
             flat = np.concatenate([np.arange(bounds[c], bounds[c + 1]) for c in some.tolist()])
@@ -269,11 +275,15 @@ class Index:
                 if i == 4096:
                     continue  # belongs to the next part
                 c, r = int(some[i]), int(row[some[i]])
+                if (r, p) in whole:
+                    continue
                 n = len(self.words[p])
                 first = max(int(np.searchsorted(rows, r)), int(cut[c]) - n)
                 last = min(int(np.searchsorted(rows, r, "right")), int(cut[c]) + 2 * CELL + n)
                 overlap, answer = self.check(int(p), words[first:last].tolist())
-                if overlap and answer >= ANSWER:
+                if overlap == 1:
+                    whole.add((r, p))
+                if overlap:
                     out.setdefault(r, []).append({"item_id": self.items[p], "word": int(place[cut[c]]), "cosine": min(1.0, float(scores[i, p])), "overlap": overlap, "answer": answer})
         return out
 
