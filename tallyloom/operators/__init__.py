@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Dataflow operators: table-agnostic building blocks and the reconciliation stages made of them."""

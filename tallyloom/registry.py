@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import catalog
+
 
 def queries() -> dict:
-    return {}
+    return catalog.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return catalog.oracle_sql()
