@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm import decontaminate, jaccard_join, language_id, pieces, pii
 from tallyloom.llm.shared import stable, stored
 
-#: Texts whose best language is less likely than this are rejected, and those without a letter.
-LEAST_SCORE = 0.5
+#: Texts whose best language is less likely than this, hardly above chance, are rejected, and those without a letter.
+LEAST_SCORE = 0.35
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

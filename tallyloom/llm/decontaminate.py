@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import stored
-from .textkernel import mix, slices, tune, utf8, word_hashes
+from .textkernel import lean, mix, slices, tune, utf8, word_hashes
 
 BITS = 18
 CELL, PASSAGE = 24, 64
@@ -63,7 +63,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
     """idf of each hashed term, from all documents; 2**BITS numbers."""
-    rows = docs.select("text").mapInArrow(_frequencies, "term int, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
+    rows = docs.select("text").mapInArrow(lean(_frequencies), "term int, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
     counts = rows.toArrow()
     term, texts = counts["term"].to_numpy(), counts["texts"].to_numpy()
     n = int(texts[term < 0].sum())
@@ -90,7 +90,7 @@ def passages(items: DataFrame) -> DataFrame:
     tune(items.sparkSession)
     answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit("")
     rows = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(answer, F.lit("")).alias("answer"))
-    found = stored(rows.mapInArrow(_passages, "item_id long, words binary, answer binary"), "passages")
+    found = stored(rows.mapInArrow(lean(_passages), "item_id long, words binary, answer binary"), "passages")
     n = found.count()
     chunks = -(-n // CHUNK)
     return found.withColumn("chunk", F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, chunks))).cast("int"))
@@ -157,7 +157,7 @@ def randomised_svd(rows: DataFrame, idf, rank: int = RANK, power: int = POWER, s
     basis = None
     for turn in range(power + 1):
         shared = None if basis is None else context.broadcast(basis)
-        parts = rows.mapInArrow(_times(idf, shared, rank, seed), "term int, row array<double>")
+        parts = rows.mapInArrow(lean(_times(idf, shared, rank, seed)), "term int, row array<double>")
         summed = parts.groupBy(F.pmod("term", F.lit(16)).alias("part")).applyInArrow(_sum_rows, "term int, row array<double>").toArrow()
         if not summed.num_rows:
             return np.zeros(0, np.int32), np.zeros((0, rank), np.float32)
@@ -311,7 +311,7 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame
         held = rows.orderBy("item_id", "words").collect()  # about CHUNK passages
         basis = randomised_svd(rows.select("words"), wide, min(RANK, max(8, len(held))))
         index = spark.sparkContext.broadcast(Index([r.item_id for r in held], [np.frombuffer(r.words, np.uint64) for r in held], [np.frombuffer(r.answer, np.uint64) for r in held], basis, idf))
-        out = out.mapInArrow(_search(index, text), schema)
+        out = out.mapInArrow(lean(_search(index, text)), schema)
     return out
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .blocks import bucket_cuts, grouped, stable
 from .graph import components
 from .shared import parts, stored
-from .textkernel import distinct, mix, pack_counts, pack_sorted, shingles, slices, tune, unpack_counts, unpack_sorted, utf8, word_hashes
+from .textkernel import distinct, lean, mix, pack_counts, pack_sorted, release, shingles, slices, tune, unpack_counts, unpack_sorted, utf8, word_hashes
 
 _U = np.uint64
 WORDS = 5
@@ -143,6 +143,8 @@ def _share(n_parts: int):
             if a < b:
                 those, size = np.unique(name[a:b], return_counts=True)
                 rows.append((p, those.tobytes(), pack_counts(size), key[a:b].tobytes(), pack_counts(each[a:b])))
+        del key, name, each, part, order
+        release()
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 4))], names=["part", "classes", "sizes", "keys", "times"])
 
     return run
@@ -200,6 +202,7 @@ def _meet(boundary: int):
                 if len(meets):
                     rows.append((int(those[i]), int(sizes[i]), meets.view(np.int64), pack_sorted(key[a:b]), int(count[i])))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        release()
         return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()), strict=True)], names=["class", "n_shingles", "meets", "shared", "n_shared"])
 
     return run
@@ -336,11 +339,11 @@ def near_duplicates(docs: DataFrame, group_shingles: int = GROUP_SHINGLES, bound
     tune(spark)
     n = parts(spark)
     rows = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    signed = stored(rows.mapInArrow(_sign, "doc_id long, n_shingles long, class long"), "signatures")
+    signed = stored(rows.mapInArrow(lean(_sign), "doc_id long, n_shingles long, class long"), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"))
     if boundary is None:
         boundary = choose_boundary({r.n_shingles: r["count"] for r in classes.where(F.col("n_shingles") <= 4 * MOST_SMALL // 3 + 1).groupBy("n_shingles").count().collect()})
-    shared = rows.mapInArrow(_post(n), "bucket int, keys binary, index binary, classes binary").groupBy("bucket").applyInArrow(_share(n), "part int, classes binary, sizes binary, keys binary, times binary")
+    shared = rows.mapInArrow(lean(_post(2 * n)), "bucket int, keys binary, index binary, classes binary").groupBy("bucket").applyInArrow(_share(n), "part int, classes binary, sizes binary, keys binary, times binary")
     sized = classes.select(F.pmod("class", F.lit(n)).cast("int").alias("part"), "class", "n_shingles")
     meets = stored(shared.groupBy("part").cogroup(sized.groupBy("part")).applyInArrow(_meet(boundary), "class long, n_shingles long, meets array<long>, shared binary, n_shared long"), "meets")
 

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import extended, fold
-from .textkernel import slices, tune, utf8
+from .textkernel import lean, slices, tune, utf8
 
 BITS = 15
 SIZE = 1 << BITS
@@ -161,14 +161,14 @@ def fit(train: DataFrame, size: int = SAMPLE, epochs: int = 2) -> Model | None:
     """Learn from doc_id, text and lang of ``train``."""
     tune(train.sparkSession)
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = train.select("text").mapInArrow(_frequencies, "feature int, texts long").groupBy("feature").agg(F.sum("texts").alias("texts")).collect()
+    counts = train.select("text").mapInArrow(lean(_frequencies), "feature int, texts long").groupBy("feature").agg(F.sum("texts").alias("texts")).collect()
     seen = np.zeros(SIZE)
     for r in counts:
         seen[r.feature] = r.texts
     if not seen[0]:
         return None
     idf = np.log((1 + seen[0]) / (1 + seen)) + 0.1
-    rows = sample(train, size).mapInArrow(_featurise, "lang string, mark long, features binary, counts binary").collect()
+    rows = sample(train, size).mapInArrow(lean(_featurise), "lang string, mark long, features binary, counts binary").collect()
     rows.sort(key=lambda r: (r.mark, r.lang))
     langs = sorted({r.lang for r in rows})
     data = [(f := np.frombuffer(r.features, "<u2"), weigh(np.frombuffer(r.counts, "<u4").astype(float), idf[f]), langs.index(r.lang)) for r in rows if r.features]
@@ -200,7 +200,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = kept.withColumn("__lettered", lettered)
-    out = rows.mapInArrow(run, extended(rows.schema, lang_pred="string", score="double"))
+    out = rows.mapInArrow(lean(run), extended(rows.schema, lang_pred="string", score="double"))
     return out.withColumns({"lang_pred": F.when(F.col("__lettered"), F.col("lang_pred")).otherwise("und"), "score": F.when(F.col("__lettered"), F.col("score")).otherwise(0.0)}).drop("__lettered")
 
 

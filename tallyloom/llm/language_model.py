@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Blocks, bucket_cuts, grouped, merge_counts, pack_counts, pack_sorted, stable, unpack_counts, unpack_sorted
 from .shared import fold, parts, stored
-from .textkernel import hash_word, mix, tune, utf8, word_hashes
+from .textkernel import hash_word, lean, mix, release, tune, utf8, word_hashes
 
 _U = np.uint64
 END, START = _U(hash_word("\x00</s>")), _U(hash_word("\x00<s>"))
@@ -97,6 +97,7 @@ def _answer(group: pa.Table) -> pa.Table:
     words, totals, word_answers = merge_counts([unpack_sorted(x) for x in group["words"].to_pylist()], [unpack_counts(x) for x in group["word_counts"].to_pylist()])
     _, _, pair_answers = merge_counts([unpack_sorted(x) for x in group["pairs"].to_pylist()], [unpack_counts(x) for x in group["pair_counts"].to_pylist()])
     n = group.num_rows
+    release()
     once = lambda x: pa.array([x, *[0] * (n - 1)], pa.int64())  # noqa: E731  totals of the bucket ride on its first row
     return pa.table({"block": group["block"], "bucket": group["bucket"], "word_counts": pa.array([pack_counts(x) for x in word_answers], pa.binary()), "pair_counts": pa.array([pack_counts(x) for x in pair_answers], pa.binary()), "tokens": once(int(totals.sum())), "distinct_words": once(int((totals > 0).sum()))})
 
@@ -144,6 +145,7 @@ def _score(n: int, v: int, strength: float):
             raise ValueError(f"block {key}: the texts differ from those that were counted")
         c, base, weight = Automaton(words, word_counts, pairs, pair_counts, n, v, strength).read(word, before)
         total = lambda x: np.bincount(row, x, texts.num_rows)
+        release()
         return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(np.bincount(row, minlength=texts.num_rows)), "n_known": pa.array(total(c > 0).astype(np.int64)), "train_tokens": pa.array(np.full(texts.num_rows, n)), "base_score": pa.array(total(base)), "score": pa.array(total(weight))})
 
     return run
@@ -165,9 +167,9 @@ def score_texts(docs: DataFrame, held_out, strength: float = 20.0) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     rows = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out")))
-    answers = stored(rows.mapInArrow(_ask(parts(spark)), ASKED).groupBy("bucket").applyInArrow(_answer, ANSWERED), "lm-counts")
+    answers = stored(rows.mapInArrow(lean(_ask(parts(spark))), ASKED).groupBy("bucket").applyInArrow(_answer, ANSWERED), "lm-counts")
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))).first()
-    texts = rows.mapInArrow(_name_blocks, "block long, doc_id long, text string, held_out boolean")
+    texts = rows.mapInArrow(lean(_name_blocks), "block long, doc_id long, text string, held_out boolean")
     return texts.groupBy("block").cogroup(answers.select("block", "bucket", "word_counts", "pair_counts").groupBy("block")).applyInArrow(_score(n, v, strength), SCORED)
 
 

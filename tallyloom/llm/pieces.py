@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .bpe import TextTrellis, common_prefix
 from .shared import extended
-from .textkernel import _powers, mix, tune
+from .textkernel import lean, mix, _powers, tune
 
 MARK = "▁"
 SLICE = 1 << 21
@@ -204,7 +204,7 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), lists], [*batch.schema.names, ids])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -224,7 +224,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -
                 found += codec(model).decode(flat[own[0] : own[-1]], own - own[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, text])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))
+    return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def digest(df: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -246,7 +246,7 @@ def digest(df: DataFrame, model: str, text: str = "text") -> DataFrame:
                 own = {n: c.slice(lo, hi - lo) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != text}
                 yield pa.RecordBatch.from_arrays([*own.values(), pa.array(np.diff(offsets)), pa.array(sums), pa.array(same)], [*own, "n_pieces", "ids_sha256", "round_trip"])
 
-    return kept.mapInArrow(run, extended(kept.drop(text).schema, n_pieces="long", ids_sha256="string", round_trip="boolean"))
+    return kept.mapInArrow(lean(run), extended(kept.drop(text).schema, n_pieces="long", ids_sha256="string", round_trip="boolean"))
 
 
 def query(docs: DataFrame, model: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import TextTrellis, byte_symbols, common_prefix, read_word_bpe, split_suffix
 from .shared import extended
-from .textkernel import span_hashes, tune
+from .textkernel import lean, span_hashes, tune
 
 CHUNK = 1 << 18
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -286,7 +286,7 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", count: str
             got = count_texts(vocabulary, batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], [*batch.schema.names, count])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def query(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .textkernel import tune
+from .textkernel import lean, tune
 
 BLOCK_ROWS = 1 << 15
 QUERIES = 2000  # of a task, at most
@@ -190,7 +190,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
     tune(spark)
     finite = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = lambda df: df.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    index = stored(usable(vectors).mapInArrow(_build(block_rows), INDEX), "bit-slices")
+    index = stored(usable(vectors).mapInArrow(lean(_build(block_rows)), INDEX), "bit-slices")
     asked = stored(usable(queries).select(F.col("vec_id").alias("query_id"), F.monotonically_increasing_id().alias("row"), "vector"), "queries")
     blocks, n = max(1, index.count()), asked.count()
     lanes = min(blocks, 4096)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import extended, fold
-from .textkernel import _powers, mix, slices, tune, utf8
+from .textkernel import lean, mix, _powers, slices, tune, utf8
 
 BITS = 18
 SIZE = 1 << BITS
@@ -160,8 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     order = F.xxhash64("doc_id")
     chosen = clean.where("label = 1").orderBy(order, "doc_id").limit(size).unionByName(clean.where("label = 0").orderBy(order, "doc_id").limit(size))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 x size rows at most
-    rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).mapInArrow(_featurise, "doc_id long, label int, features binary, counts binary")
-    found = rows.repartition(1).mapInArrow(_train, "scores binary, bias double, ones long, n long").collect() if share is not None else []
+    rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).mapInArrow(lean(_featurise), "doc_id long, label int, features binary, counts binary")
+    found = rows.repartition(1).mapInArrow(lean(_train), "scores binary, bias double, ones long, n long").collect() if share is not None else []
     if not found or not found[0].scores:
         return Model(np.zeros(SIZE, np.float32), 30.0 if share else -30.0)
     r = found[0]
@@ -178,7 +178,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(text)))], [*batch.schema.names, "score"])
 
-    return kept.mapInArrow(run, extended(kept.schema, score="double"))
+    return kept.mapInArrow(lean(run), extended(kept.schema, score="double"))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import stored, temporary
-from .textkernel import tune
+from .textkernel import lean, tune
 
 CRLF = "\r\n"
 #: Fixed values of the format.
@@ -176,7 +176,7 @@ def records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row for each record of the archives under ``path``; without ``payloads`` only their sizes and digests."""
     tune(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(_read(payloads), RECORD)
+    return files.mapInArrow(lean(_read(payloads)), RECORD)
 
 
 def transactions(found: DataFrame) -> DataFrame:
