@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Snapshot readers and sinks."""

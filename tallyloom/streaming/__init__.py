@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Structured Streaming twins of slice ingestion and event windows."""

@@ -7,11 +7,13 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+        .config("spark.sql.maxPlanStringLength", "5000")
+        .config("spark.driver.memory", "3g")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
