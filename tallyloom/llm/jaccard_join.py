@@ -370,3 +370,21 @@ def near_duplicates(docs: DataFrame, group_shingles: int = GROUP_SHINGLES, bound
 
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w
+), n AS (
+  SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1
+), o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)
+), r AS (
+  SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.v
+)
+SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT v, min(c) AS component_id FROM r GROUP BY 1) ON v = doc_id
+"""

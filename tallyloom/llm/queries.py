@@ -54,4 +54,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op8_topk_search": topk_search.SQL}
+    return {"op3_warc": warc.SQL, "op7_jaccard_join": jaccard_join.SQL, "op8_topk_search": topk_search.SQL}
