@@ -100,3 +100,21 @@ def boundary_violations(events: DataFrame, proposals: DataFrame) -> DataFrame:
     j = j.join(uses, "proposal_id")
     checks = F.array_compact(F.array(F.when(F.col("cited").isNull(), "no_citation"), F.when(F.size(differing(F.col("after"), merged(F.col("before"), F.col("cited")))) > 0, "content"), F.when(F.col("uses") > 1, "used_twice")))
     return j.select("event_id", F.explode(checks).alias("rule"))
+
+
+def proposal_violations(before: DataFrame, after: DataFrame) -> DataFrame:
+    """proposal_id and rule of changes to proposals that must not happen.
+
+    Both: proposal_id, status, target, change, fingerprint. New ones are born pending, on
+    hold or escalated; what a proposal says never changes; none disappears.
+    """
+    old = before.select("proposal_id", F.lit(True).alias("known"), F.col("target").alias("t0"), F.col("change").alias("c0"), F.col("fingerprint").alias("f0"))
+    j = after.withColumn("there", F.lit(True)).join(old, "proposal_id", "full")
+    moved = ~F.col("t0").eqNullSafe(F.col("target")) | ~F.col("f0").eqNullSafe(F.col("fingerprint")) | (F.size(differing(F.coalesce("c0", F.create_map().cast("map<string,string>")), F.coalesce("change", F.create_map().cast("map<string,string>")))) > 0)
+    checks = F.array(
+        F.when(F.col("known").isNull() & ~F.col("status").isin("pending", "hold", "escalated"), "born_decided"),
+        F.when(F.col("known") & F.col("there") & moved, "payload_changed"),
+        F.when(F.col("there").isNull(), "deleted"),
+        F.when(F.col("there") & F.col("fingerprint").isNull(), "no_provenance"),
+    )
+    return j.select("proposal_id", F.explode(F.array_compact(checks)).alias("rule"))

@@ -170,3 +170,23 @@ def test_interval_pairs_equal_all_pairs(spark):
     df = spark.createDataFrame(data, "id int, k int, s int").withColumn("ts", F.timestamp_seconds("s"))
     got = {(x.left_id, x.right_id) for x in r.interval_pairs(df, ["k"], "ts", "id", 600).collect()}
     assert got == {(a, b) for a, ka, sa in data for b, kb, sb in data if a < b and ka == kb and abs(sa - sb) < 600}
+
+
+def test_nested_redaction(spark):
+    text = '{"type":"C1 of Ann Lee","who":{"name":"Ann Lee","status":"seen x@y.zz","age":3,"n":null},"tags":["Bob",1,{"verdict":"ok"}]}'
+    df = spark.createDataFrame([(1, text), (2, "no json"), (3, None)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", privacy.redacted_json(F.col("t")).alias("x")).collect()}
+    import json
+
+    doc = json.loads(got[1])
+    assert doc["who"]["name"] == spark.range(1).select(privacy.token("value", F.lit("Ann Lee"))).first()[0]
+    assert doc["who"]["status"] == "seen [pii:email]" and doc["who"]["age"] == "[pii:flag]" and doc["who"]["n"] is None
+    assert doc["tags"][2] == {"verdict": "ok"} and doc["tags"][0].startswith("[pii:value:") and doc["tags"][1] == "[pii:flag]"
+    assert got[2].startswith("[pii:value:") and got[3] is None
+
+
+def test_proposal_boundary(spark):
+    schema = "proposal_id int, status string, target string, change map<string,string>, fingerprint string"
+    old = spark.createDataFrame([(1, "pending", "t", {"a": "1"}, "f"), (2, "pending", "t", {"a": "1"}, "f2"), (3, "pending", None, None, "f3")], schema)
+    new = spark.createDataFrame([(1, "approved", "t", {"a": "1"}, "f"), (2, "pending", "t", {"a": "2"}, "f2"), (4, "applied", "t", None, None)], schema)
+    assert rows(d.proposal_violations(old, new)) == [(2, "payload_changed"), (3, "deleted"), (4, "born_decided"), (4, "no_provenance")]
