@@ -35,7 +35,8 @@ CRLF = "\r\n"
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-PAGES_PER_FILE = 2000
+#: Size classes of pages, in bytes of html, and how many pages of each a file may hold.
+SIZES = ((1 << 14, 2000), (1 << 18, 128), (1 << 22, 8), (1 << 31, 1))
 BROADCAST_ROWS = 100_000
 RECORD = "kind string, record_id string, concurrent_to string, refers_to string, target string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
 
@@ -83,8 +84,25 @@ def captures(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least: int = 100) -> None:
-    """Write the captures of ``pages`` (page_id, url, html) as gzip WARC files under ``path``."""
-    c = captures(pages, least)
+    """Write the captures of ``pages`` (page_id, url, html) as gzip WARC files under ``path``.
+
+    Pages go to files by size class, so that no file is larger than about 32 MB or one page.
+    """
+    every = captures(pages, least)
+    size = F.octet_length("html")
+    found = {r.k for r in pages.select(_size_class(F.coalesce(F.octet_length("html"), F.lit(0))).alias("k")).distinct().collect()}
+    for k in sorted(found) or [0]:
+        _write(every.where(_size_class(size) == k), f"{path}/size{k}", SIZES[k][1])
+
+
+def _size_class(size: Column) -> Column:
+    out = F.lit(len(SIZES) - 1)
+    for k in reversed(range(len(SIZES) - 1)):
+        out = F.when(size <= SIZES[k][0], k).otherwise(out)
+    return out
+
+
+def _write(c: DataFrame, path: str, per_file: int) -> None:
     number = F.concat_ws("-", "digest", "number")
     own, first = name_of("response", F.col("page_id"), number), name_of("response", F.col("first_page"), F.concat_ws("-", "digest", F.lit("0")))
     target, digest = ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
@@ -99,7 +117,7 @@ def write(pages: DataFrame, path: str, least: int = 100) -> None:
     metadata = _record("metadata", name_of("metadata", F.col("page_id"), number), [target, beside], "application/warc-fields", noted)
     # Three records in one value, each ended by an empty line; the sink's separator ends the last.
     together = F.concat(request, F.lit(CRLF), F.when(F.col("revisit"), revisit).otherwise(response), F.lit(CRLF), metadata)
-    c.select(together.alias("value")).write.option("compression", "gzip").option("lineSep", CRLF).option("maxRecordsPerFile", PAGES_PER_FILE).text(path)
+    c.select(together.alias("value")).write.option("compression", "gzip").option("lineSep", CRLF).option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:

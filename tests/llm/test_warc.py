@@ -34,3 +34,14 @@ def test_repeated_rows_and_payloads(spark):
 
 def test_empty_table(spark):
     assert warc.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_size_classes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", ((10, 2), (100, 1), (1 << 31, 1)))
+    rows = [(i, "u", "x" * n) for i, n in enumerate((0, 5, 10, 11, 99, 150, 150, 2000))]
+    path = temporary(spark, "warc-sizes")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    assert files.count() == 2 + 2 + 3
+    t = warc.transactions(warc.records(spark, path)).collect()
+    assert sorted((x.metadata.fields["page_id"], x.response.kind) for x in t) == [(str(i), "revisit" if i == 6 else "response") for i in range(8)]
