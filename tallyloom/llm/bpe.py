@@ -56,7 +56,7 @@ class Trellis:
         key = (left, right)
         known = self.fits_memo.get(key)
         if known is None:
-            if len(self.fits_memo) > 400_000:
+            if len(self.fits_memo) > 100_000:
                 self.fits_memo.clear()
             known = self.fits_memo[key] = self._fits(left, right)
         return known
@@ -86,6 +86,7 @@ class TextTrellis(Trellis):
         super().__init__(tokens, ranks)
         self.by_text = {"".join(k): v for k, v in self.ids.items()}
         self.sizes = {v: len(k) for k, v in self.by_text.items()}
+        self.ids = {}  # the texts are enough from here on
 
     def step_text(self, text: str, n: int, last: list[int]) -> int:
         by_text, fits = self.by_text, self.fits

@@ -34,7 +34,7 @@ from .shared import extended
 from .textkernel import lean, mix, _powers, tune
 
 MARK = "▁"
-SLICE = 1 << 21
+SLICE = 1 << 20
 _VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -114,7 +114,7 @@ class Codec:
 
     def _table(self, keys: np.ndarray, words: list[str]) -> None:
         """Encode new words and add them to the table."""
-        if len(self.flat) > 8_000_000:  # bounded memory; words come back when met again
+        if len(self.flat) > 6_000_000:  # bounded memory; words come back when met again
             self.keys, self.begins, self.sizes, self.flat = self.keys[:0], self.begins[:0], self.sizes[:0], self.flat[:0]
         order = sorted(range(len(words)), key=words.__getitem__)
         found = list(self.encode_sorted([words[k] for k in order]))
@@ -150,7 +150,7 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
         if len(new):
-            if len(self.flat) > 8_000_000:
+            if len(self.flat) > 6_000_000:
                 new = np.arange(len(distinct))
             spots = first[new]
             words = [data[a:b].decode("utf-8", "surrogatepass").replace(" ", MARK) for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)]
