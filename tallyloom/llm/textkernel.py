@@ -35,7 +35,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python tasks receive, by rows and bytes."""
-    for key, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(16 << 20))):
+    for key, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(4 << 20))):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
