@@ -57,6 +57,15 @@ def without_known(c: Column, known: Column) -> Column:
     return F.aggregate(order, c, lambda text, x: F.replace(text, x["v"], F.lit("[pii:known]")))
 
 
+def audit_rows(events: DataFrame, salt: str = SALT) -> DataFrame:
+    """Audit rows as they may be stored: bodies redacted, with the digest of what was redacted.
+
+    events: id, ts, actor, action, subject, body (map). The one way into the audit table.
+    """
+    whole = F.array_join(F.array_sort(F.transform(F.map_entries("body"), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("\\N"))))), "\x1f")
+    return events.withColumn("body_sha256", F.sha2(whole, 256)).withColumn("body", redacted(F.col("body"), salt)).withColumn("actor", F.when(F.col("actor").contains("@"), token("email", F.col("actor"), salt)).otherwise(F.col("actor")))
+
+
 def sweep(tables: dict[str, DataFrame], now: Column, ts: str = "ts", key: str = "id") -> dict[str, DataFrame]:
     """Each table of the schedule with fate: keep, purge, anonymize or blocked.
 

@@ -8,7 +8,11 @@ Readers have no writing member.
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +21,8 @@ from pyspark.sql import types as T
 from ..functions import scalars as s
 from ..plans.schemas import CENTS, DOLLARS, ENTITIES, INTS, TIMESTAMPS, fields
 
+T_ = TypeVar("T_")
+
 MAX_BYTES, MAX_DEPTH, MAX_KEY = 262_144, 32, 256
 #: Reject kinds in the order in which they are looked for, with their status codes.
 KINDS = {"too_large": 413, "bad_json": 400, "too_deep": 400, "non_finite": 422, "not_object": 400, "missing_key": 422, "wrong_type": 422, "bad_key": 422, "unstorable_text": 422}
@@ -174,3 +180,36 @@ def ledger(landed: DataFrame, rejected: DataFrame, expected: DataFrame) -> DataF
 def plan(slices: DataFrame) -> DataFrame:
     """generation, state: landed if all of its slices are complete."""
     return slices.groupBy("generation").agg(F.when(F.bool_and("complete"), "landed").otherwise("pending").alias("state"))
+
+
+class SourceTimeout(TimeoutError):
+    """A read did not end within its bound."""
+
+
+def bounded(spark: SparkSession, seconds: float, read_: Callable[[], T_]) -> T_:
+    """Run an action with a time limit; its Spark jobs are cancelled when the time is over."""
+    group = f"bounded-{uuid.uuid4().hex}"
+    out: list = []
+
+    def run() -> None:
+        spark.sparkContext.setJobGroup(group, "bounded read", interruptOnCancel=True)
+        try:
+            out.append((True, read_()))
+        except Exception as e:  # handed to the caller below
+            out.append((False, e))
+
+    thread = InheritableThread(target=run, session=spark)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        spark.sparkContext.cancelJobGroup(group)
+        raise SourceTimeout(f"no result within {seconds} s")
+    good, value = out[0]
+    if not good:
+        raise value
+    return value
+
+
+def failing(rows: DataFrame, at: int) -> DataFrame:
+    """Fault injection for tests: the read raises when it comes to this line."""
+    return rows.withColumn("raw", F.when(F.col("line_no") >= at, F.raise_error(F.lit("injected fault")).cast("string")).otherwise(F.col("raw")))

@@ -190,3 +190,25 @@ def test_proposal_boundary(spark):
     old = spark.createDataFrame([(1, "pending", "t", {"a": "1"}, "f"), (2, "pending", "t", {"a": "1"}, "f2"), (3, "pending", None, None, "f3")], schema)
     new = spark.createDataFrame([(1, "approved", "t", {"a": "1"}, "f"), (2, "pending", "t", {"a": "2"}, "f2"), (4, "applied", "t", None, None)], schema)
     assert rows(d.proposal_violations(old, new)) == [(2, "payload_changed"), (3, "deleted"), (4, "born_decided"), (4, "no_provenance")]
+
+
+def test_bounded_reads_and_faults(spark, tmp_path):
+    import time
+
+    assert snapshots.bounded(spark, 60, lambda: spark.range(5).count()) == 5
+    with pytest.raises(ValueError):
+        snapshots.bounded(spark, 60, lambda: int("x"))
+    slow = F.pandas_udf(lambda s: time.sleep(30) or s, "long")
+    with pytest.raises(snapshots.SourceTimeout):
+        snapshots.bounded(spark, 1, lambda: spark.range(1).select(slow("id")).collect())
+    lines = spark.createDataFrame([(1, "a"), (2, "b")], "line_no int, raw string")
+    assert snapshots.failing(lines, 3).count() == 2
+    with pytest.raises(Exception, match="injected"):
+        snapshots.failing(lines, 2).collect()
+
+
+def test_audit_is_stored_redacted_and_found_by_either_spelling(spark):
+    ev = spark.createDataFrame([(1, "a@b.cc", "view", "s", {"name": "Ann", "type": "C1"}), (2, "job", "sync", "s", {})], "id int, actor string, action string, subject string, body map<string,string>")
+    stored = privacy.audit_rows(ev).cache()
+    assert "Ann" not in str(stored.collect()) and "a@b.cc" not in str(stored.collect())
+    assert [serve.list_audit(stored, actor=a)[1] for a in ("a@b.cc", stored.where("id = 1").first().actor, "job", "nobody")] == [1, 1, 1, 0]
