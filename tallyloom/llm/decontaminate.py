@@ -306,12 +306,14 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame
     found = passages(items)
     out = kept.withColumn("leaks", F.array().cast(LEAKS))
     schema = out.schema
-    for chunk in sorted(r.chunk for r in found.select("chunk").distinct().collect()):
+    for turn, chunk in enumerate(sorted(r.chunk for r in found.select("chunk").distinct().collect()), 1):
         rows = found.where(F.col("chunk") == chunk)
         held = rows.orderBy("item_id", "words").collect()  # about CHUNK passages
         basis = randomised_svd(rows.select("words"), wide, min(RANK, max(8, len(held))))
         index = spark.sparkContext.broadcast(Index([r.item_id for r in held], [np.frombuffer(r.words, np.uint64) for r in held], [np.frombuffer(r.answer, np.uint64) for r in held], basis, idf))
         out = out.mapInArrow(lean(_search(index, text)), schema)
+        if turn % 8 == 0:
+            out = stored(out, "leaks")  # a bounded number of models in one plan
     return out
 
 

@@ -80,3 +80,10 @@ def test_lcs_equals_the_table_method():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert dc.lcs(a, b) == t[-1][-1]
+
+
+def test_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(dc, "CHUNK", 2)
+    docs, items, truth = world(24)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.query(df, bench).collect()} == truth
