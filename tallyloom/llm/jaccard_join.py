@@ -44,7 +44,7 @@ from .textkernel import distinct, lean, mix, pack_counts, pack_sorted, release,
 _U = np.uint64
 WORDS = 5
 #: Shingles of a coarse group that one task may hold.
-GROUP_SHINGLES = 4_000_000
+GROUP_SHINGLES = 1_000_000
 MOST_SMALL = 16
 
 
