@@ -1,13 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words cover all documents.
-2. Benchmark items are cut into passages and weighted by TF-IDF. A randomised SVD of
-   that matrix is computed over distributed rows: a seeded test matrix, power
+1. Document frequencies of hashed words cover all documents; they tell the rarer half
+   of a passage's words.
+2. Benchmark items are cut into passages and weighted by TF-IDF, with the idf of the
+   passages, so that weights don't depend on how often documents copy one. A randomised
+   SVD of that matrix is computed over distributed rows: a seeded test matrix, power
    iterations with partial sums by term, orthonormalised through small Gram matrices.
-3. Each document is read in cells of ``CELL`` words; two neighbours are a window. A
-   window whose energy in benchmark terms cannot reach the threshold is passed over;
-   the others are projected, and their cosine with each passage (put right for the
-   share of the passage that the projection keeps) names the candidates.
+3. Each document is read in cells of ``CELL`` words; two neighbours are a window. Its
+   cosine with each passage (put right for the share of the passage that the projection
+   keeps) is fitted to the passage: the window counts with the passage's length, so that
+   the words around a copy take nothing from it. A window whose terms cannot reach the
+   threshold with any passage is not projected. The cosine names candidates, and so does
+   each run of ``GRAM`` words (of all words in shorter passages) that a window shares
+   with a passage, whatever the cosine.
 4. A candidate is a leak if the longest common subsequence of words between the
    passage and a stretch of the window's surroundings covers ``OVERLAP`` of the
    passage, and the passage's answer is there too: its ``answer`` column if there is
@@ -39,6 +44,7 @@ BITS = 18
 CELL, PASSAGE = 24, 64
 RANK, CHUNK, POWER = 256, 1024, 2
 COSINE, OVERLAP, ANSWER = 0.25, 0.6, 0.5
+GRAM = 3
 SHORT = 8
 _U = np.uint64
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("word", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("overlap", T.DoubleType()), T.StructField("answer", T.DoubleType())]))
@@ -64,7 +70,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_frequencies(docs: DataFrame) -> np.ndarray:
     """idf of each hashed term, from all documents; 2**BITS numbers."""
     rows = docs.select("text").mapInArrow(lean(_frequencies), "term int, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
-    counts = rows.toArrow()
+    return _idf(rows.toArrow())
+
+
+def _idf(counts: pa.Table) -> np.ndarray:
     term, texts = counts["term"].to_numpy(), counts["texts"].to_numpy()
     n = int(texts[term < 0].sum())
     seen = np.zeros(1 << BITS)
@@ -96,6 +105,30 @@ def passages(items: DataFrame) -> DataFrame:
     return found.withColumn("chunk", F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, chunks))).cast("int"))
 
 
+def _passage_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen, total = np.zeros(1 << BITS, np.int64), 0
+    for batch in batches:
+        for words in batch.column("words").to_pylist():
+            seen[np.unique(terms(np.frombuffer(words, np.uint64)))] += 1
+        total += batch.num_rows
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], total))], ["term", "texts"])
+
+
+def passage_frequencies(found: DataFrame) -> np.ndarray:
+    """idf of each hashed term among all passages; 2**BITS numbers."""
+    rows = found.select("words").mapInArrow(lean(_passage_frequencies), "term int, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
+    return _idf(rows.toArrow())
+
+
+def runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the run of ``size`` words that begins at each word, as far as there is one."""
+    run = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for j in range(size):
+        run = run * _U(0x9E3779B97F4A7C15) + words[j : j + len(run)]
+    return mix(run)
+
+
 def weights(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(terms, TF-IDF weights of length one) of a passage."""
     at, times = np.unique(terms(words), return_counts=True)
@@ -192,22 +225,36 @@ def lcs(a: list[int], b: list[int]) -> int:
 class Index:
     """One chunk of passages in the latent space, and what checking needs."""
 
-    def __init__(self, items: list[int], words: list[np.ndarray], answers: list[np.ndarray], basis, idf: np.ndarray):
+    def __init__(self, items: list[int], words: list[np.ndarray], answers: list[np.ndarray], basis, idf: np.ndarray, rare: np.ndarray):
+        """idf weighs terms among passages, rare among documents."""
         self.items, self.words, self.idf = items, words, idf
         self.terms, self.vectors = basis
         latent = []
+        self.most = np.zeros(1 << BITS, np.float32)  # what a word of that term adds to the fitted cosine with any passage, at most
         for w in words:
             at, x = weights(w, idf)
+            length = float(np.linalg.norm(np.unique(terms(w), return_counts=True)[1] * idf[at]))
             y = x @ rows_of(basis, at)
-            latent.append(y / max(float(y @ y), 1e-6))  # cosine estimate is <w, y> / (|w| |y|^2)
+            latent.append(y / (max(float(y @ y), 1e-6) * length))  # the fitted cosine is <w, y> / (|p| |y|^2)
+            self.most[at] = np.maximum(self.most[at], x * idf[at] / length)
         self.latent = np.array(latent, np.float32)
         self.known = np.full(1 << BITS, -1, np.int32)
         self.known[self.terms] = np.arange(len(self.terms))
+        self.scaled = self.vectors * idf[self.terms][:, None]
+        self.grams = {}
+        for size in range(1, GRAM + 1):
+            own = [np.unique(runs(w, size)) if min(len(w), GRAM) == size else np.zeros(0, np.uint64) for w in words]
+            keys = np.concatenate(own)
+            if len(keys):
+                order = np.argsort(keys, kind="stable")
+                maybe = np.zeros(1 << BITS, bool)
+                maybe[terms(keys)] = True
+                self.grams[size] = (keys[order], np.repeat(np.arange(len(own)), [len(k) for k in own])[order], maybe)
         self.answers = []
         for w, a in zip(words, answers, strict=True):
             if not len(a):
                 own = np.unique(w)
-                a = own[np.argsort(-idf[terms(own)], kind="stable")[: max(1, len(own) // 2)]]
+                a = own[np.argsort(-rare[terms(own)], kind="stable")[: max(1, len(own) // 2)]]
             self.answers.append(set(a.tolist()))
 
     def check(self, p: int, around: list[int]) -> tuple[float, float]:
@@ -233,6 +280,19 @@ class Index:
                     break
         return best
 
+    def shared(self, words: np.ndarray, rows: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Distinct (cell, passage) where a run of words that begins in the cell is one of the passage; two columns, sorted."""
+        pairs = [np.zeros((0, 2), np.int64)]
+        for size, (keys, owners, maybe) in self.grams.items():
+            run = runs(words, size)
+            at = np.flatnonzero(maybe[terms(run)] & (rows[: len(run)] == rows[size - 1 :]))
+            first, last = np.searchsorted(keys, run[at]), np.searchsorted(keys, run[at], "right")
+            n = last - first
+            cell = np.repeat(np.searchsorted(cut, at, "right") - 1, n)
+            owner = owners[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            pairs.append(np.column_stack((cell, owner)))
+        return np.unique(np.concatenate(pairs), axis=0)
+
     def search(self, raw: np.ndarray, offsets: np.ndarray) -> dict[int, list[dict]]:
         """Leaks of each text of a slice that has any."""
         words, rows = word_hashes(raw, offsets)
@@ -240,17 +300,16 @@ class Index:
             return {}
         place = np.arange(len(words)) - np.searchsorted(rows, np.arange(len(offsets) - 1))[rows]
         cut = np.flatnonzero((place % CELL) == 0)  # cells begin anew in each text
-        at = self.known[terms(words)]
-        energy = self.idf[terms(words)] ** 2
-        inside = np.add.reduceat(np.where(at >= 0, energy, 0), cut)
-        total = np.add.reduceat(energy, cut)
+        term = terms(words)
+        at = self.known[term]
         row = rows[cut]
         pair = np.append(row[1:] == row[:-1], False)
-        two = lambda x: x + np.where(pair, np.append(x[1:], 0), 0)
-        span, within = np.sqrt(two(total)), np.sqrt(two(inside))
-        able = within >= COSINE * span
+        reach = np.add.reduceat(self.most[term].astype(np.float64), cut)
+        able = reach + np.where(pair, np.append(reach[1:], 0), 0) >= COSINE * (1 - 1e-5)
+        shared = self.shared(words, rows, cut)
+        able[shared[:, 0]] = True
         live = able | np.append(False, able[:-1] & pair[:-1])
-        # Project the cells of windows that can reach the threshold.
+        # Project the cells of windows that can reach the threshold or share a run.
         cells = np.flatnonzero(live)
         if not len(cells):
             return {}
@@ -265,13 +324,15 @@ class Index:
             flat, owner = flat[use], owner[use]
             y = np.zeros((len(some), self.vectors.shape[1]), np.float32)
             if len(flat):
-                z = self.vectors[at[flat]] * self.idf[terms(words[flat])][:, None]
                 begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                y[owner[begins]] = np.add.reduceat(z, begins)
+                y[owner[begins]] = np.add.reduceat(self.scaled[at[flat]], begins)
             follows = np.append((some[1:] == some[:-1] + 1) & pair[some[:-1]], False)
             y[:-1] += np.where(follows[:-1, None], y[1:], 0)
-            scores = y @ self.latent.T / span[some][:, None]
-            for i, p in zip(*np.nonzero((scores >= COSINE) & able[some][:, None]), strict=True):
+            scores = y @ self.latent.T
+            named = (scores >= COSINE) & able[some][:, None]
+            here = shared[np.searchsorted(shared[:, 0], some[0]) : np.searchsorted(shared[:, 0], some[-1], "right")]
+            named[np.searchsorted(some, here[:, 0]), here[:, 1]] = True
+            for i, p in zip(*np.nonzero(named), strict=True):
                 if i == 4096:
                     continue  # belongs to the next part
                 c, r = int(some[i]), int(row[some[i]])
@@ -284,7 +345,7 @@ class Index:
                 if overlap == 1:
                     whole.add((r, p))
                 if overlap:
-                    out.setdefault(r, []).append({"item_id": self.items[p], "word": int(place[cut[c]]), "cosine": min(1.0, float(scores[i, p])), "overlap": overlap, "answer": answer})
+                    out.setdefault(r, []).append({"item_id": self.items[p], "word": int(place[cut[c]]), "cosine": min(1.0, max(0.0, float(scores[i, p]))), "overlap": overlap, "answer": answer})
         return out
 
 
@@ -301,16 +362,17 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame
     spark = docs.sparkSession
     tune(spark)
     kept = docs.drop("leaks")
-    idf = document_frequencies(docs.select(F.col(text).alias("text")))
-    wide = spark.sparkContext.broadcast(idf)  # 2**BITS floats
+    rare = document_frequencies(docs.select(F.col(text).alias("text")))
     found = passages(items)
+    idf = passage_frequencies(found)
+    wide = spark.sparkContext.broadcast(idf)  # 2**BITS floats
     out = kept.withColumn("leaks", F.array().cast(LEAKS))
     schema = out.schema
     for turn, chunk in enumerate(sorted(r.chunk for r in found.select("chunk").distinct().collect()), 1):
         rows = found.where(F.col("chunk") == chunk)
         held = rows.orderBy("item_id", "words").collect()  # about CHUNK passages
         basis = randomised_svd(rows.select("words"), wide, min(RANK, max(8, len(held))))
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in held], [np.frombuffer(r.words, np.uint64) for r in held], [np.frombuffer(r.answer, np.uint64) for r in held], basis, idf))
+        index = spark.sparkContext.broadcast(Index([r.item_id for r in held], [np.frombuffer(r.words, np.uint64) for r in held], [np.frombuffer(r.answer, np.uint64) for r in held], basis, idf, rare))
         out = out.mapInArrow(lean(_search(index, text)), schema)
         if turn % 8 == 0:
             out = stored(out, "leaks")  # a bounded number of models in one plan

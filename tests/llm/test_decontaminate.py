@@ -87,3 +87,25 @@ def test_many_chunks(spark, monkeypatch):
     docs, items, truth = world(24)
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in dc.query(df, bench).collect()} == truth
+
+
+def test_a_passage_that_a_third_of_the_documents_hold(spark):
+    r = random.Random(4)
+    fresh = lambda n: ["".join(r.choices("klmnopqrst", k=9)) for _ in range(n)]
+    passage, others = fresh(15), [(i, " ".join(fresh(30))) for i in range(1, 20)]
+    docs = []
+    for d in range(300):
+        words, copy = fresh(120), list(passage)
+        if d % 9 == 0:  # each third word replaced, so that no run of three is left
+            for i in range(d // 9 % 3, 15, 3):
+                copy[i] = fresh(1)[0]
+        if d % 3 == 0:
+            at = r.randrange(100)
+            words[at:at] = copy
+        docs.append((d, " ".join(words)))
+    items = spark.createDataFrame([(0, " ".join(passage)), *others], "item_id long, text string")
+    got = {x.doc_id: x.overlap for x in dc.query(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {d for d, overlap in got.items() if overlap == 1} == {d for d in range(0, 300, 3) if d % 9}
+    assert all(d % 3 == 0 for d in got)
+    changed = [d for d in range(0, 300, 9) if d in got]
+    assert changed and all(got[d] == 10 / 15 for d in changed)
