@@ -39,12 +39,14 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     x = _MAP[raw] + np.uint32(1)
     out = np.zeros((3, len(x)), np.uint16)
     key = np.zeros(len(x), np.uint32)
+    some = offsets[:-1] < offsets[1:]  # an empty text has no end of its own
+    begins, ends = offsets[:-1][some], offsets[1:][some]
     for n in range(3):
         key[: len(x) - n] = key[: len(x) - n] * np.uint32(0x01000193) + x[n:]
         mixed = (key ^ np.uint32(n)) * np.uint32(0x9E3779B1)
         out[n] = (mixed ^ (mixed >> np.uint32(15))) >> np.uint32(32 - BITS)
         for back in range(1, n + 1):
-            out[n][np.maximum(offsets[1:] - back, offsets[:-1])] = 0
+            out[n][np.maximum(ends - back, begins)] = 0
     return out
 
 

@@ -44,6 +44,25 @@ def test_a_text_is_predicted_alike_in_any_batch():
         assert sorted(whole[0][whole[1] == i]) == sorted(tx.bag(*tx.utf8(pa.array([t])))[0])
 
 
+def test_empty_and_null_texts_change_nothing_around_them():
+    texts = ["the water", "", "été où", None, "", "x", "straße"]
+    alone = [next(iter(li.vectors(pa.array([t], pa.string())))) for t in texts]
+    for tail in ([""], [None], ["", None], [None, ""]):
+        together = list(li.vectors(pa.array(["", *texts, *tail], pa.string())))
+        assert len(together) == 1 + len(texts) + len(tail)
+        for a, b in zip(alone, together[1:], strict=False):
+            assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_language_id_of_batches_that_end_in_empty_or_null_texts(spark):
+    rows = corpus() + [(900, "", "en"), (901, None, "en")]
+    for tail in (rows, rows[:-1]):
+        df = spark.createDataFrame(tail, "doc_id long, text string, lang string").coalesce(1)
+        got = {r.doc_id: r.lang_pred for r in li.query(df).collect()}
+        assert got[900] == "und" and len(got) == len(tail)
+        assert sum(got[i] == lang for i, _, lang in corpus()) >= 235
+
+
 def toxic_corpus(n=600):
     r = random.Random(2)
     out = []
