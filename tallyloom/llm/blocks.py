@@ -6,10 +6,6 @@ the distinct 64-bit keys and cuts them at bucket borders; one row holds a whole
 (block, bucket) piece. A bucket's task merges the pieces of its key range and
 answers each with totals in the order asked, so keys never travel back. A key that
 is in every text comes once from each block, so hot keys don't gather rows.
-
-A block is named by (partition, byte position), so two passes over the same scan
-agree; ``stable`` writes inputs that come out of a shuffle to the shared folder
-first. Numbers that disagree raise an error.
 """
 
 from __future__ import annotations
@@ -18,43 +14,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 
-from .shared import stable
 from .textkernel import pack_counts, pack_sorted, slices, unpack_counts, unpack_sorted, utf8
 
 BLOCK_BYTES = 8 << 20
 
 
-class Blocks:
-    """Names the block of each row; one per task, fed batch by batch."""
-
-    def __init__(self, limit: int = BLOCK_BYTES):
-        self.limit, self.seen, self.task = limit, 0, TaskContext.get().partitionId()
-
-    def of(self, offsets: np.ndarray) -> np.ndarray:
-        begins = self.seen + offsets[:-1] + np.arange(len(offsets) - 1) * 16
-        self.seen += int(offsets[-1]) + 16 * (len(offsets) - 1)
-        return (np.int64(self.task) << 32) + begins // self.limit
-
-
-def runs(ids: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of equal neighbours."""
-    cuts = np.flatnonzero(np.diff(ids)) + 1
-    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True) if len(ids) else ()
-
-
-def grouped(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, bool]]:
-    """(block, rows, bytes, offsets, is the first piece of its block), in slices of about 1 MB."""
-    blocks, now = Blocks(limit), None
+def grouped(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool]]:
+    """(rows, bytes, offsets, whether a block begins here), in slices of about 1 MB."""
+    seen, first = 0, True
     for batch in batches:
         raw, offsets = utf8(batch.column(text))
-        ids = blocks.of(offsets)
-        for a, b in runs(ids):
-            for lo, hi in slices(offsets[a : b + 1] - offsets[a]):
-                lo, hi = lo + a, hi + a
-                yield int(ids[a]), batch.slice(lo, hi - lo), raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ids[a] != now
-                now = ids[a]
+        for lo, hi in slices(offsets):
+            if seen > limit:
+                seen, first = 0, True
+            yield batch.slice(lo, hi - lo), raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], first
+            seen, first = seen + int(offsets[hi] - offsets[lo]) + 16 * (hi - lo), False
+
+
+def runs(*ids: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of neighbours that are equal in all arrays."""
+    n = len(ids[0])
+    cuts = (np.flatnonzero(np.logical_or.reduce([np.diff(x) != 0 for x in ids])) + 1).tolist()
+    yield from zip([0, *cuts], [*cuts, n], strict=True) if n else ()
 
 
 def bucket_cuts(keys: np.ndarray, n: int) -> np.ndarray:
@@ -75,4 +57,4 @@ def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.n
     return found, totals, np.split(answers, cuts)
 
 
-__all__ = ["BLOCK_BYTES", "Blocks", "bucket_cuts", "grouped", "merge_counts", "pack_counts", "pack_sorted", "runs", "stable", "unpack_counts", "unpack_sorted"]
+__all__ = ["BLOCK_BYTES", "bucket_cuts", "grouped", "merge_counts", "pack_counts", "pack_sorted", "runs", "unpack_counts", "unpack_sorted"]

@@ -16,8 +16,11 @@ sizes s and t link if their overlap o has 7 o >= 3 (s + t), which is a similarit
    Inside a group, overlaps are counted by scanning the inverted lists of one set
    after another, until those not yet scanned are all in one component: every link
    between components has then been looked at. No pair list is made.
-5. A group too large for one task is dealt out by salt; sets of growing number are
-   sent to all of its parts at once, with the same rule for when to stop.
+5. A group too large for one task is dealt out by salt; up to ``PIVOTS`` sets are sent
+   to all of its parts at once, again and again, with the same rule for when to stop.
+
+Key ranges and parts grow in number with the input, so none of them grows. Joins on a
+class, list or label that a large share of the rows has go through ``join_hot``.
 
 Texts without words have the empty set and link with nothing; null counts as empty.
 Rows that repeat, also with one id, are members like others. Null ids are kept, and
@@ -32,20 +35,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import bucket_cuts, grouped, stable
+from .blocks import bucket_cuts, grouped
 from .graph import components
-from .shared import parts, stored
+from .shared import buckets, checkpoint, discard, hot_keys, join_hot, located, scanned, stored
 from .textkernel import distinct, lean, mix, pack_counts, pack_sorted, release, shingles, slices, tune, unpack_counts, unpack_sorted, utf8, word_hashes
 
 _U = np.uint64
 WORDS = 5
 #: Shingles of a coarse group that one task may hold.
 GROUP_SHINGLES = 1_000_000
-MOST_SMALL = 16
+#: Subsets of one set that a task may hold; beyond it a set is large, whatever lists cost.
+SET_SUBSETS = 1 << 16
+#: Bytes of input files for each key range and part, and sets sent to a large group at once.
+RANGE_BYTES, PIVOTS = 4 << 20, 4096
 
 
 def needed(s: int, t: int) -> int:
@@ -67,6 +73,7 @@ def sets_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but the text, with the size and signature of its set."""
     for batch in batches:
         raw, offsets = utf8(batch.column("text"))
         sizes, names = [], []
@@ -74,7 +81,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, _, size, name = sets_of(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             sizes.append(size), names.append(name)
         one = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), one(sizes), one(names)], ["doc_id", "n_shingles", "class"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), one(sizes), one(names)], [*kept, "n_shingles", "class"])
 
 
 def _post(n_buckets: int):
@@ -98,7 +106,7 @@ def _post(n_buckets: int):
             for x in (*held, met):
                 x.clear()
 
-        for _, _, raw, offsets, first in grouped(batches, "text"):
+        for _, raw, offsets, first in grouped(batches, "text"):
             if first:
                 yield from flush()
             keys, rows, sizes, names = sets_of(raw, offsets)
@@ -296,13 +304,14 @@ def join_large(members: DataFrame, limit: int, first: int = 64) -> DataFrame | N
     """Edges inside groups that no task may hold. members: g, class, n_shingles, shared, total (shingles of the group)."""
     salts = F.ceil(F.col("total") / limit).cast("int")
     dealt = stored(members.withColumn("salt", F.pmod(F.xxhash64("class"), salts).cast("int")).withColumn("salts", salts), "large-groups")
-    state = dealt.select("g", "class", F.col("class").alias("label"), F.lit(False).alias("done"))
+    state = stored(dealt.select("g", "class", F.col("class").alias("label"), F.lit(False).alias("done")), "state")
+    groups = hot_keys(state.groupBy("g").agg(F.count("*").alias("n")), "g", state.count())
     edges, send = None, first
     while True:
-        by_size = W.partitionBy("g").orderBy(F.desc("n"), "label")
-        top = state.groupBy("g", "label").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(by_size)).where("k = 1").select("g", F.col("label").alias("top"))
-        waiting = state.where("not done").join(top, "g").where("label != top")
+        top = state.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
+        waiting = join_hot(state.where("not done"), top, "g", hot=groups).where("label != top")
         # Those of one component wait for nothing but others outside it; none outside: all links are known.
+        # Spark keeps the first rows of each group before the shuffle, so no task sorts a whole group.
         order = W.partitionBy("g").orderBy(F.xxhash64("class"))
         chosen = stored(waiting.withColumn("k", F.row_number().over(order)).where(F.col("k") <= send).select("g", "class"), "pivots")
         if chosen.isEmpty():
@@ -312,8 +321,9 @@ def join_large(members: DataFrame, limit: int, first: int = 64) -> DataFrame | N
         edges = new if edges is None else edges.unionByName(new)
         label = components(edges).withColumnRenamed("v", "class").withColumnRenamed("label", "now")
         sent_now = chosen.select("class", F.lit(True).alias("sent"))
-        state = stored(state.join(label, "class", "left").join(sent_now, "class", "left").select("g", "class", F.coalesce("now", "label").alias("label"), (F.col("done") | F.coalesce("sent", F.lit(False))).alias("done")), "state")
-        send *= 4
+        moved = stored(state.join(label, "class", "left").join(sent_now, "class", "left").select("g", "class", F.coalesce("now", "label").alias("label"), (F.col("done") | F.coalesce("sent", F.lit(False))).alias("done")), "state")
+        discard(state, chosen)
+        state, send = moved, min(4 * send, PIVOTS)
 
 
 def choose_boundary(histogram: dict[int, int]) -> int:
@@ -322,50 +332,82 @@ def choose_boundary(histogram: dict[int, int]) -> int:
     A list can be as long as there are sets of a size that may link; a set scans one
     for each place of its prefix.
     """
-    best = 0
-    for n in range(1, MOST_SMALL + 1):
+    n = 1
+    while True:
         near = range(-(-3 * n // 4), 4 * n // 3 + 1)
         enumerate_ = sum(math.comb(n, o) for o in {needed(n, t) for t in near} if o <= n)
         scan = prefix_length(n) * sum(histogram.get(t, 0) for t in near)
-        if enumerate_ > scan:
-            break
-        best = n
-    return best
+        if enumerate_ > min(scan, SET_SUBSETS):
+            return n - 1
+        n += 1
 
 
-def near_duplicates(docs: DataFrame, group_shingles: int = GROUP_SHINGLES, boundary: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
+def classes(docs: DataFrame, group_shingles: int = GROUP_SHINGLES, boundary: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(docs without text but with n_shingles and class, the label of each class that has shingles).
+
+    docs: a text and columns that tell its rows. Classes with one label are linked,
+    directly or through others. Two passes over the texts, which needn't agree in order.
+    """
     spark = docs.sparkSession
     tune(spark)
-    n = parts(spark)
-    rows = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    signed = stored(rows.mapInArrow(lean(_sign), "doc_id long, n_shingles long, class long"), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"))
+    rows = scanned(docs)
+    n = buckets(rows, RANGE_BYTES)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    signed = stored(rows.mapInArrow(lean(_sign), f"{kept}, n_shingles long, class long"), "signatures")
+    known = signed.where("n_shingles > 0").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"))
     if boundary is None:
-        boundary = choose_boundary({r.n_shingles: r["count"] for r in classes.where(F.col("n_shingles") <= 4 * MOST_SMALL // 3 + 1).groupBy("n_shingles").count().collect()})
-    shared = rows.mapInArrow(lean(_post(2 * n)), "bucket int, keys binary, index binary, classes binary").groupBy("bucket").applyInArrow(_share(n), "part int, classes binary, sizes binary, keys binary, times binary")
-    sized = classes.select(F.pmod("class", F.lit(n)).cast("int").alias("part"), "class", "n_shingles")
-    meets = stored(shared.groupBy("part").cogroup(sized.groupBy("part")).applyInArrow(_meet(boundary), "class long, n_shingles long, meets array<long>, shared binary, n_shared long"), "meets")
+        most = next(k for k in range(1, 1 << 20) if math.comb(k, needed(k, k)) > SET_SUBSETS)  # no set this large is enumerated
+        boundary = choose_boundary({r.n_shingles: r["count"] for r in known.where(F.col("n_shingles") <= 4 * most // 3 + 1).groupBy("n_shingles").count().collect()})
+    posted = rows.select("text").mapInArrow(lean(_post(n)), "bucket int, keys binary, index binary, classes binary")
+    shared = posted.repartition(n, "bucket").groupBy("bucket").applyInArrow(_share(n), "part int, classes binary, sizes binary, keys binary, times binary")
+    sized = known.select(F.pmod("class", F.lit(n)).cast("int").alias("part"), "class", "n_shingles")
+    meets = stored(shared.repartition(n, "part").groupBy("part").cogroup(sized.repartition(n, "part").groupBy("part")).applyInArrow(_meet(boundary), "class long, n_shingles long, meets array<long>, shared binary, n_shared long"), "meets")
 
     posts = meets.select("class", F.explode("meets").alias("key"))
-    hubs = posts.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("other")).where("hub != other")
-    stars = posts.join(hubs, "key").where(F.col("class") != F.col("hub")).select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    coarse = components(stars)
-    members = coarse.select(F.col("v").alias("class"), F.col("label").alias("g")).join(meets.drop("meets"), "class")
-    totals = members.groupBy("g").agg(F.sum("n_shared").alias("total"))
-    members = stored(members.join(totals, "g").select("g", "class", "n_shingles", "shared", "total"), "members")
+    hubs = stored(posts.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("other"), F.count("*").alias("n")).where("hub != other"), "hubs")
+    long_lists = hot_keys(hubs, "key", hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    stars = join_hot(posts, hubs.select("key", "hub"), "key", hot=long_lists).where(F.col("class") != F.col("hub")).select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
+    coarse = components(stars).select(F.col("v").alias("class"), F.col("label").alias("g"))
+    weighed = checkpoint(coarse.join(meets.select("class", "n_shared"), "class"))
+    totals = weighed.groupBy("g").agg(F.sum("n_shared").alias("total"))
+    members = stored(join_hot(weighed.select("class", "g"), totals, "g").join(meets.select("class", "n_shingles", "shared", "n_shared"), "class").select("g", "class", "n_shingles", "shared", "total"), "members")
     small = members.where(F.col("total") <= group_shingles)
-    edges = small.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(4 * n)).cast("int")).groupBy("part").applyInArrow(_join_groups, EDGES)
+    edges = small.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(4 * n)).cast("int")).repartition(n, "part").groupBy("part").applyInArrow(_join_groups, EDGES)
     large = members.where(F.col("total") > group_shingles)
     if not large.isEmpty():
         edges = edges.unionByName(join_large(large, group_shingles))
-
     linked = components(stored(edges, "edges"))
-    labels = classes.join(linked, F.col("class") == F.col("v"), "left").select("class", F.coalesce("label", "class").alias("label"), "least")
-    least = labels.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labels.join(least, "label").select("class", "component_id")
+    discard(meets, members, hubs)
+    return signed, known.select("class").join(linked, F.col("class") == F.col("v"), "left").select("class", F.coalesce("label", "class").alias("label"))
+
+
+def firsts(signed: DataFrame, labels: DataFrame, order: Column) -> DataFrame:
+    """class and ``first``: the least ``order`` among the rows of all classes with its label."""
+    own = stored(signed.where("n_shingles > 0").groupBy("class").agg(F.min(order).alias("own")).join(labels, "class"), "labels")
+    least = own.groupBy("label").agg(F.min("own").alias("first"))
+    return join_hot(own.select("class", "label"), least, "label").select("class", "first")
+
+
+def near_duplicates(docs: DataFrame, group_shingles: int = GROUP_SHINGLES, boundary: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
+    signed, labels = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), group_shingles, boundary)
+    named = firsts(signed, labels, F.col("doc_id")).select("class", F.col("first").alias("component_id"))
     full, empty = signed.where("n_shingles > 0"), signed.where("n_shingles = 0")
-    return full.join(named, "class").select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return join_hot(full, named, "class").select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near duplicates, the least doc_id's, and one of repeated rows.
+
+    Rows are told apart by their place in the files they are read from, which no
+    change of the cluster between two scans can move. Texts without words all stay.
+    """
+    rows = located(docs)
+    signed, labels = classes(rows.select("doc_id", "__file", "__at", "text"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__file", "__at")
+    met = join_hot(signed.where("n_shingles > 0"), firsts(signed, labels, order), "class")
+    gone = stored(met.where(~(F.col("first.__file").eqNullSafe(F.col("__file")) & F.col("first.__at").eqNullSafe(F.col("__at")))).select("__file", "__at"), "duplicates")
+    return rows.join(gone, ["__file", "__at"], "left_anti").drop("__file", "__at")
 
 
 def query(docs: DataFrame) -> DataFrame:

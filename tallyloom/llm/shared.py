@@ -25,11 +25,16 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(parts)), F.lit(0)).cast("int")
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def temporary(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, fs = _place(spark, path)
+    fs.deleteOnExit(place)
     return path
 
 
@@ -38,14 +43,74 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = temporary(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that no result reads any more."""
+    for df in tables:
+        place, fs = _place(df.sparkSession, df._stored_at)
+        fs.delete(place, True)
+
+
+#: Plan nodes that keep one row of a file one row.
+_ROWWISE = ("Project", "Filter", "SubqueryAlias", "LogicalRelation")
+
+
+def _is_scan(df: DataFrame) -> bool:
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in _ROWWISE:
+        if node.children().isEmpty():
+            return node.relation().getClass().getSimpleName() == "HadoopFsRelation" and node.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+        node = node.children().head()
+    return False
+
+
+#: Columns that tell a row by its place: which file, and where in it.
+PLACE = ("__file", "__at")
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """df itself if its rows come straight from Parquet files, else a written copy."""
+    return df if _is_scan(df) else stored(df, "input")
+
+
+def located(df: DataFrame) -> DataFrame:
+    """df with the columns PLACE, which name a row alike in every scan, however its files are split.
+
+    Only Parquet scans have places; any other input is first written to the shared folder.
+    """
+    return scanned(df).select("*", F.xxhash64("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+
+def buckets(df: DataFrame, bytes_each: int) -> int:
+    """How many parts to deal something into that grows with df's files, so that a part's size does not."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(parts(df.sparkSession), -(-min(size, 1 << 56) // bytes_each))
+
+
+def hot_keys(counted: DataFrame, key: str, total: int, most: int = 500) -> list:
+    """Keys with more than 1/most of all rows, so fewer than ``most``. counted: key, n."""
+    return [r[0] for r in counted.where(F.col(key).isNotNull() & (F.col("n") > max(1000, total // most))).select(key).collect()]
+
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """left join right on one key column; right has one row a key at most. how: inner or left.
 
-def stable(df: DataFrame) -> DataFrame:
-    """df itself if its rows come from a scan in fixed order, else a written copy."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    scans_only = all(line.split("+- ")[-1].strip().split(" ")[0] in ("Project", "Filter", "Relation", "LocalRelation", "") for line in plan.splitlines())
-    return df if scans_only else stored(df, "input")
+    A hot key would gather its rows in one task. Its row of ``right`` is sent to left's
+    rows instead (there are fewer than 500 of these, see ``hot_keys``); all other keys
+    are joined as usual. ``left`` should be a written table or a checkpoint, since it
+    is read again.
+    """
+    if hot is None:
+        hot = hot_keys(left.groupBy(key).agg(F.count("*").alias("n")), key, left.count())
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how).unionByName(left.where(~is_hot).join(right, key, how))
 
 
 def parts(spark: SparkSession) -> int:
