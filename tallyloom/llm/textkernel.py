@@ -91,6 +91,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[lo:hi], offsets - lo
 
 
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code point, first byte, offsets in characters) of each character; bytes that continue none count as one each."""
+    goes_on = (raw & 0xC0) == 0x80
+    if not goes_on.any():
+        return raw.astype(np.uint32), np.arange(len(raw)), offsets
+    begins = ~goes_on
+    begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    at = np.flatnonzero(begins)
+    size = np.diff(np.append(at, len(raw)))
+    lead = raw[at].astype(np.uint32)
+    points = np.where(size == 1, lead, lead & (0x7F >> np.minimum(size, 4)).astype(np.uint32))
+    for k in range(1, int(min(size.max(), 4))):
+        more = np.flatnonzero(size > k)
+        points[more] = points[more] << np.uint32(6) | (raw[at[more] + k] & np.uint32(0x3F))
+    return points, at, np.searchsorted(at, offsets)
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about ``limit`` bytes; a longer text stands alone."""
     row, n = 0, len(offsets) - 1

@@ -95,3 +95,20 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in tx.query(docs, none).collect()] == [0]
     assert tx.query(docs.limit(0), none).count() == 0
+
+
+def test_characters_are_code_points():
+    texts = ["aé日😀", "", "z", "ß"]
+    points, _, offsets = li.characters(*li.utf8(pa.array(texts)))
+    assert points.tolist() == [ord(c) for t in texts for c in t] and offsets.tolist() == [0, 4, 4, 5, 6]
+
+
+def test_every_language_is_learned_however_many(spark, monkeypatch):
+    monkeypatch.setattr(li, "WEIGHTS", 1 << 18)
+    r = random.Random(5)
+    stems = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzéßжд日", k=6)) for _ in range(260)]
+    rows = [(i, f"{stems[i % 260]} " * 8, f"x{i % 260:03d}") for i in range(1040)]
+    model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 260 and model.weights.size <= 1 << 18
+    names, _ = model.predict(pa.array([t for _, t, _ in rows[:260]]))
+    assert sum(a == b for a, (_, _, b) in zip(names, rows, strict=False)) >= 250
