@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate, jaccard_join, language_id, pieces, pii
-from tallyloom.llm.shared import stable, stored
+from tallyloom.llm.shared import stored
 
 #: Texts whose best language is less likely than this, hardly above chance, are rejected, and those without a letter.
 LEAST_SCORE = 0.35
@@ -26,18 +26,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least doc_id of each group of near duplicates, and of repeated rows one.
-
-    Rows are told apart by their place in the scan. Those that go are joined away;
-    texts that stay are moved at most once.
-    """
-    rows = stable(docs).withColumn("__row", F.monotonically_increasing_id())
-    grouped = jaccard_join.near_duplicates(stable(docs).select(F.monotonically_increasing_id().alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
-    ids = rows.select("__row", "doc_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    stay = ids.join(grouped, "__row").groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("component_id", F.col("first.__row").alias("stays"))
-    gone = stored(grouped.join(stay, "component_id").where("__row != stays").select("__row"), "duplicates")
-    return rows.join(gone, "__row", "left_anti").drop("__row")
+    """Keep the least doc_id of each group of near duplicates, and of repeated rows one."""
+    return jaccard_join.without_repeats(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
