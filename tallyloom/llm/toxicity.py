@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A text is the bag of its words' character n-grams (3 to 5 bytes, with a mark at
+A text is the bag of its words' character n-grams (3 to 5 code points, with a mark at
 either end of a word) and of its whole words, hashed into buckets. Each bucket has
 a vector; the mean over the bag goes through a linear softmax. Vectors and softmax
 are trained jointly in numpy (Adagrad, one text at a time) on a bounded sample of
@@ -9,9 +9,9 @@ bias. An unseen misspelling shares most of its n-grams' vectors with the word.
 
 Since the classifier is linear, scoring needs one number for each bucket, and the
 score of a text is an average over its whole bag. Null and empty texts, or texts
-without a word, have the bias alone. Labels other than 0 and 1 don't teach; rows
-repeated in ``labels`` or ``documents`` teach once. Without both classes every
-score is the share of the one there is, or 0.
+without a word, have the bias alone. Labels other than 0 and 1 don't teach; an id with
+several labels is toxic if one says so, and of several texts under one id the least
+teaches. Without both classes every score is the share of the one there is, or 0.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import extended, fold
-from .textkernel import lean, mix, _powers, slices, tune, utf8
+from .textkernel import characters, lean, mix, _powers, slices, tune, utf8
 
 BITS = 18
 SIZE = 1 << BITS
@@ -32,23 +32,28 @@ ORDERS = (3, 4, 5)
 #: Bound of the labelled sample, in texts of each class.
 SAMPLE = 5000
 #: So many neutral subwords are in every bag; a text of a few words is then no extreme.
-NEUTRAL = 300
+NEUTRAL = 1000
+#: Bytes of features that the one training task may hold; longer samples stop at that many, in hashed order.
+SAMPLE_BYTES = 256 << 20
 _U = np.uint64
-_VALUE = np.arange(256, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) | _U(1)
-_VALUE[65:91] = _VALUE[97:123]
-_BREAK = np.array([b < 128 and not chr(b).isalnum() and b != 39 for b in range(256)])
-_VALUE[_BREAK] = _VALUE[32]
+_LOWER = np.arange(128, dtype=np.uint32)
+_LOWER[65:91] += 32
+_BREAK = np.array([b < 128 and not chr(b).isalnum() and b != 39 for b in range(128)])
+_LOWER[_BREAK] = 32
 
 
 def bag(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, row) of each subword of the texts, by order of n-gram."""
     n = len(offsets) - 1
-    data = raw.tobytes()
-    text = np.frombuffer(b"\n" + b"\n".join([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]) + b"\n", np.uint8)
-    stop = _BREAK[text]
+    points, _, offsets = characters(raw, offsets)
+    # Marks before, between and after the texts.
+    text = np.insert(points, offsets, 10).astype(np.uint32)
+    text = np.where(text < 128, _LOWER[np.minimum(text, 127)], text)
+    stop = text == 32
+    value = text.astype(np.uint64) * _U(0x9E3779B97F4A7C15) | _U(1)
     up, down = _powers(len(text) + 1)
     total = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(_VALUE[text] * up[: len(text)], out=total[1:])
+    np.cumsum(value * up[: len(text)], out=total[1:])
     borders = offsets + np.arange(n + 1)
     keys, places = [], []
     for size in ORDERS:
@@ -117,19 +122,21 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
         for lo, hi in slices(offsets):
             key, row = bag(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            for i in range(hi - lo):
-                found, times = np.unique(key[row == i], return_counts=True)
-                blobs.append((found.astype("<u4").tobytes(), times.astype("<u4").tobytes()))
+            pairs, times = np.unique(row.astype(np.int64) << BITS | key, return_counts=True)
+            cuts = np.searchsorted(pairs, np.arange(hi - lo + 1) << BITS)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                blobs.append(((pairs[a:b] & (SIZE - 1)).astype("<u4").tobytes(), times[a:b].astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a for a, _ in blobs], pa.binary()), pa.array([b for _, b in blobs], pa.binary())], ["doc_id", "label", "features", "counts"])
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fit on the whole bounded sample in one task; the driver gets one number for each bucket."""
-    data = []
+    data, room = [], SAMPLE_BYTES
     for batch in batches:
         for doc, label, features, counts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "features", "counts")), strict=True):
             key, times = np.frombuffer(features, "<u4"), np.frombuffer(counts, "<u4").astype(np.float32)
-            if len(key):
+            room -= len(features) + len(counts)
+            if len(key) and room > 0:
                 data.append((doc, key, times / (times.sum() + NEUTRAL), label))
     data = [x[1:] for x in sorted(data, key=lambda x: x[0])]
     ones = sum(x[2] for x in data)
@@ -155,13 +162,13 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """docs: doc_id, text; labels: doc_id, label (0 or 1). Learns from all ids in ``labels``, up to ``size`` of each class."""
     tune(docs.sparkSession)
-    clean = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    clean = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = clean.agg(F.avg("label")).first()[0]
     order = F.xxhash64("doc_id")
     chosen = clean.where("label = 1").orderBy(order, "doc_id").limit(size).unionByName(clean.where("label = 0").orderBy(order, "doc_id").limit(size))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 x size rows at most
     rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).mapInArrow(lean(_featurise), "doc_id long, label int, features binary, counts binary")
-    found = rows.repartition(1).mapInArrow(lean(_train), "scores binary, bias double, ones long, n long").collect() if share is not None else []
+    found = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id")).mapInArrow(lean(_train), "scores binary, bias double, ones long, n long").collect() if share is not None else []
     if not found or not found[0].scores:
         return Model(np.zeros(SIZE, np.float32), 30.0 if share else -30.0)
     r = found[0]

@@ -112,3 +112,13 @@ def test_every_language_is_learned_however_many(spark, monkeypatch):
     assert len(model.langs) == 260 and model.weights.size <= 1 << 18
     names, _ = model.predict(pa.array([t for _, t, _ in rows[:260]]))
     assert sum(a == b for a, (_, _, b) in zip(names, rows, strict=False)) >= 250
+
+
+def test_conflicting_labels_of_one_id(spark):
+    rows = toxic_corpus(120)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = [(i, y) for i, _, y in rows]
+    one = spark.createDataFrame(labels, "doc_id long, toxic int")
+    more = spark.createDataFrame(labels + [(i, 0) for i, y in labels if y], "doc_id long, toxic int").repartition(5)
+    a, b = ({r.doc_id: r.score for r in tx.query(docs, x).collect()} for x in (one, more))
+    assert a == b
