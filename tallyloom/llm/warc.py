@@ -12,8 +12,10 @@ the three records through the concurrent-to identifier into one nested row for e
 capture; a revisit gets its payload's size from the record that it refers to.
 
 Null html is an empty payload, null urls are written as an empty target. Pages with
-one id are told apart by a running number; equal payloads under one id revisit the
-first. Null ids count as the largest. Extra columns are ignored; no page, no file.
+one id are told apart by their place in the files; equal payloads under one id revisit
+the first, by url and place. Null ids count as the largest. Extra columns, whatever
+their names, are ignored; no page, no file. A page's html is one value in Spark and
+must stay below 2 GB.
 """
 
 from __future__ import annotations
@@ -24,10 +26,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import stored, temporary
+from .shared import PLACE, hot_keys, join_hot, located, stored, temporary
 from .textkernel import lean, tune
 
 CRLF = "\r\n"
@@ -37,7 +38,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: Size classes of pages, in bytes of html, and how many pages of each a file may hold.
 SIZES = ((1 << 14, 2000), (1 << 18, 128), (1 << 22, 8), (1 << 31, 1))
-BROADCAST_ROWS = 100_000
+#: Marks that are sent to the pages; beyond, a bitmap of at most so many bits tells which pages must meet them.
+BROADCAST_ROWS, BITMAP_BITS = 100_000, 1 << 28
+_BITMAP = 1 << 15  # bits of one bitmap value, as Spark's aggregate makes them
 RECORD = "kind string, record_id string, concurrent_to string, refers_to string, target string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
 
 
@@ -56,30 +59,48 @@ def name_of(kind: str, page: Column, number: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12))
 
 
+def _maybe(rows: DataFrame, marks: DataFrame, n: int) -> DataFrame:
+    """rows with ``maybe``: false only if no mark has the row's page and payload. The bitmap is BITMAP_BITS at most."""
+    hashed = lambda page, digest: F.xxhash64(page, digest)
+    count = max(1, min(BITMAP_BITS, 16 * n) // _BITMAP)
+    of = lambda h: (F.pmod(F.shiftright(h, 15), F.lit(count)).alias("bitmap"), F.pmod(h, F.lit(_BITMAP)).alias("bit"))
+    maps = marks.select(*of(hashed("of", "payload"))).groupBy("bitmap").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at = rows.select("*", *of(hashed("page_id", "digest"))).join(F.broadcast(maps), "bitmap", "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    isset = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
+    return at.withColumn("maybe", F.coalesce(isset, F.lit(False))).drop("bitmap", "bit", "bits")
+
+
 def captures(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, number, url, html, digest, and for revisits the page that they refer to.
 
     Digests are grouped without the texts. Texts move only to meet the marks of pages
     whose payload occurs again, by (page, digest), so a payload that is everywhere is
-    no hot key; up to BROADCAST_ROWS marks are sent to the texts instead. Only rows
-    that repeat a page and payload are numbered, by a window over them alone.
+    no hot key. Up to BROADCAST_ROWS marks are sent to the texts instead; with more, a
+    bitmap keeps the texts that no mark belongs to where they are. Rows that repeat a
+    page and payload are told apart by place; the first by url and place has number 0.
     """
     html, url = F.coalesce("html", F.lit("")), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    pairs = rows.select("page_id", "digest", (F.octet_length("html") >= least).alias("large")).groupBy("page_id", "digest", "large").agg(F.count("*").alias("copies"))
-    firsts = pairs.where("large").groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id")).alias("first"), F.sum("copies").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.lit(True).alias("again"))
-    marks = pairs.join(firsts, "digest", "left").where("again or copies > 1").select(F.col("page_id").alias("of"), F.col("digest").alias("payload"), "first_page", "again", "copies")
+    source = located(pages.select("page_id", "url", "html"))
+    place = F.struct(F.col("url"), *PLACE)
+    rows = source.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), *PLACE)
+    pairs = stored(rows.groupBy("page_id", "digest", (F.octet_length("html") >= least).alias("large")).agg(F.count("*").alias("copies"), F.min(place).alias("at")), "payloads")
+    firsts = pairs.where("large").groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id")).alias("first"), F.sum("copies").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.lit(True).alias("again"), "n")
+    firsts = stored(firsts, "firsts")
+    hot = hot_keys(firsts, "digest", pairs.count())
+    marks = join_hot(pairs, firsts.drop("n"), "digest", "left", hot).where("again or copies > 1").select(F.col("page_id").alias("of"), F.col("digest").alias("payload"), "first_page", "again", F.col("at").alias("first_at"))
     marks = stored(marks, "marks")
-    few = marks.count() <= BROADCAST_ROWS
-    known = lambda m: F.broadcast(m) if few else m
-    marked = rows.join(known(marks), F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("payload")), "left").drop("of", "payload")
-    if marks.where("copies > 1").isEmpty():
-        marked = marked.withColumn("number", F.lit(0))
+    n = marks.count()
+    same = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("payload"))
+    if n <= BROADCAST_ROWS:
+        marked = rows.join(F.broadcast(marks), same, "left")
     else:
-        order = W.partitionBy("page_id", "digest").orderBy("url")
-        repeats = marked.where("copies > 1").withColumn("number", F.row_number().over(order) - 1)
-        marked = marked.where("copies is null or copies = 1").withColumn("number", F.lit(0)).unionByName(repeats)
-    first = F.col("first_page").eqNullSafe(F.col("page_id")) & (F.col("number") == 0)
+        asked = _maybe(rows, marks, n)
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema.fields]
+        marked = asked.where("maybe").drop("maybe").join(marks, same, "left").unionByName(asked.where("not maybe").drop("maybe").select("*", *none))
+    first_copy = F.coalesce(F.col("first_at") == place, F.lit(True))
+    marked = marked.withColumn("number", F.when(first_copy, "0").otherwise(F.concat_ws(".", *PLACE))).drop("of", "payload", "first_at", *PLACE)
+    first = F.col("first_page").eqNullSafe(F.col("page_id")) & (F.col("number") == "0")
     return marked.withColumn("revisit", F.coalesce(F.col("again") & ~first, F.lit(False)))
 
 
@@ -204,7 +225,8 @@ def transactions(found: DataFrame) -> DataFrame:
     to, in one shuffle; where they lie together in an archive they are joined before
     it. Requests or metadata whose response is missing give no row; of several of one
     kind, the least id is taken. The result is kept in the shared folder, since
-    revisits look up the captures that they refer to.
+    revisits look up the captures that they refer to; one that most refer to is sent
+    to them.
     """
     one = lambda *kinds, cols: F.min_by(F.struct(*cols), F.when(F.col("kind").isin(*kinds), F.col("record_id")))
     joined = found.withColumn("capture", F.when(F.col("kind").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))).where("capture is not null")
@@ -217,7 +239,7 @@ def transactions(found: DataFrame) -> DataFrame:
     asked = kept.where("response.refers_to is not null").withColumn("refers_to", F.col("response.refers_to"))
     origin = kept.where("response.kind = 'response'").select(F.col("record_id").alias("refers_to"), F.struct(F.col("record_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("metadata.fields").alias("fields")).alias("origin"))
     plain = kept.where("response.refers_to is null").withColumn("origin", F.lit(None).cast(origin.schema["origin"].dataType))
-    return plain.unionByName(asked.join(origin, "refers_to", "left").drop("refers_to"))
+    return plain.unionByName(join_hot(asked, origin, "refers_to", "left").drop("refers_to"))
 
 
 def query(pages: DataFrame) -> DataFrame:

@@ -32,6 +32,17 @@ def test_repeated_rows_and_payloads(spark):
     assert all(x.request.target == x.response.target and x.metadata.fields["page_id"] == "1" for x in t)
 
 
+def test_many_marks_go_through_the_bitmap(spark, monkeypatch):
+    rows = [(i, f"u{i}", f"{i % 40} {LONG}" if i % 2 else f"{i} {LONG}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    want = sorted(map(tuple, warc.query(df).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 10)
+    assert sorted(map(tuple, warc.query(df).collect())) == want
+    asked = warc._maybe(df.selectExpr("page_id", "sha2(html, 256) digest"), df.where("page_id % 2 = 1").selectExpr("page_id of", "sha2(html, 256) payload"), 1500)
+    found = {r.page_id for r in asked.where("maybe").collect()}
+    assert found >= set(range(1, 3000, 2)) and len(found) < 1700
+
+
 def test_empty_table(spark):
     assert warc.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
