@@ -7,13 +7,18 @@ reads one word: states are prefixes in a trie, made when first met, and each
 transition is annotated with the change of the token count, the end-of-word
 transition too. A word's count is the sum of what its path emits.
 
-Texts longer than a chunk are cut anywhere. A chunk's state map is (open head,
-tokens of whole words inside, open tail); maps compose associatively, and a
-prefix scan over them gives the count of the text.
+Every text is cut into chunks of ``CHUNK`` characters, anywhere. The state between two
+chunks is the word that is unfinished there, a node of the trie. A chunk is compiled to
+its map from state to (state, count): without white space it lengthens the word; else
+it ends the word with the chunk's head, adds the count of the words inside and leaves
+the chunk's tail. Such maps compose associatively; a prefix scan does so level by
+level, for all texts of a slice at once, and the whole text's map is applied to the
+empty word.
 
 Null and empty texts have no token. Special strings in a text count as one token
 each, as the library does by default. Very long texts cost memory in proportion
-to the chunk, a single unbroken word to its own length.
+to the slice, a single unbroken word to its own length. Repeated rows are counted
+alike; extra columns pass, one named like the count is replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +38,8 @@ from .bpe import TextTrellis, byte_symbols, common_prefix, read_word_bpe, split_
 from .shared import extended
 from .textkernel import lean, span_hashes, tune
 
-CHUNK = 1 << 18
+#: Characters of a chunk and of a slice; words whose counts a task keeps.
+CHUNK, SLICE, TABLE = 1 << 16, 1 << 18, 3_000_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: The contractions that are words of their own.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -73,7 +79,8 @@ class Transducer:
     def __init__(self, path: str):
         spec = read_word_bpe(path)
         vocab, suffix = spec["vocab"], spec["suffix"]
-        self.specials = re.compile("|".join(map(re.escape, spec["specials"]))) if spec["specials"] else None
+        self.special_texts = spec["specials"]
+        self.specials = re.compile("|".join(map(re.escape, spec["specials"])))
         # The end mark becomes one private character, so that a symbol with it is text of length two at most.
         ends: dict[str, str] = {}
 
@@ -131,7 +138,7 @@ class Transducer:
             order = sorted(range(len(words)), key=words.__getitem__)
             for k, n in zip(order, self.count_sorted([words[k] for k in order]), strict=True):
                 got[new[k]] = n
-            if len(self.keys) > 3_000_000:  # bounded memory; words come back when met again
+            if len(self.keys) > TABLE:  # bounded memory; words come back when met again
                 self.keys, self.values = self.keys[:0], self.values[:0]
             keys = np.concatenate((self.keys, distinct[new]))
             order = np.argsort(keys, kind="stable")
@@ -182,12 +189,15 @@ def counts_of(machine: Transducer, texts: list[str]) -> np.ndarray:
     return np.bincount(rows, counts, len(texts)).astype(np.int64)
 
 
+_SPACE_TEXT = "".join(map(chr, SPACES))
+_FIRST = re.compile(f"[{re.escape(_SPACE_TEXT)}]")
+
+
 @dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does to the count, whatever stood before it.
+    """From the word that is unfinished before a chunk to the one unfinished after it, and the tokens in between.
 
-    head: text up to the first space, which may go on a word from before; tail:
-    text from the last space on; closed: whether there was a space at all.
+    closed: whether the chunk has white space; else all of it is head.
     """
 
     head: str
@@ -195,42 +205,65 @@ class ChunkMap:
     tail: str
     closed: bool
 
-    @staticmethod
-    def of(machine: Transducer, chunk: str) -> ChunkMap:
-        found = [m.start() for m in (_FIRST.search(chunk), _LAST.search(chunk)) if m]
-        if not found:
-            return ChunkMap(chunk, 0, "", False)
-        first, last = found[0], found[-1]
-        inner = int(counts_of(machine, [chunk[first:last]])[0]) if last > first else 0
-        return ChunkMap(chunk[:first], inner, chunk[last:].lstrip(_SPACE_TEXT), True)
-
-    def then(self, machine: Transducer, after: ChunkMap) -> ChunkMap:
+    def apply(self, machine: Transducer, word: str) -> tuple[str, int]:
+        """(state after, count) for the state before."""
         if not self.closed:
-            return ChunkMap(self.head + after.head, after.count, after.tail, after.closed)
-        if not after.closed:
-            return ChunkMap(self.head, self.count, self.tail + after.head, True)
-        joint = self.tail + after.head
-        return ChunkMap(self.head, self.count + (int(counts_of(machine, [joint])[0]) if joint else 0) + after.count, after.tail, True)
-
-    def total(self, machine: Transducer) -> int:
-        return self.count + int(counts_of(machine, [self.head, self.tail]).sum())
-
-
-_SPACE_TEXT = "".join(map(chr, SPACES))
-_FIRST = re.compile(f"[{re.escape(_SPACE_TEXT)}]")
-_LAST = re.compile(f"[{re.escape(_SPACE_TEXT)}](?=[^{re.escape(_SPACE_TEXT)}]*\\Z)")
+            return word + self.head, 0
+        return self.tail, int(counts_of(machine, [word + self.head])[0]) + self.count
+
+
+def state_maps(machine: Transducer, chunks: list[str]) -> list[ChunkMap]:
+    """The map of each chunk; the words inside all chunks are counted together."""
+    cuts = []
+    for chunk in chunks:
+        first = _FIRST.search(chunk)
+        cuts.append((first.start(), _last_space(chunk)) if first else None)
+    inner = counts_of(machine, [x[c[0] : c[1]] if c else "" for x, c in zip(chunks, cuts, strict=True)]).tolist()
+    return [ChunkMap(x[: c[0]], n, x[c[1] + 1 :], True) if c else ChunkMap(x, 0, "", False) for x, c, n in zip(chunks, cuts, inner, strict=True)]
+
+
+def _last_space(chunk: str) -> int:
+    size = 64
+    while True:  # from the end on, in growing steps, so that a search costs no more than the tail
+        found = None
+        for found in _FIRST.finditer(chunk, max(0, len(chunk) - size)):
+            pass
+        if found:
+            return found.start()
+        size *= 8
+
+
+def compose(machine: Transducer, pairs: list[tuple[ChunkMap, ChunkMap]]) -> list[ChunkMap]:
+    """first, then second, for each pair; the words that end at the seams are counted together."""
+    seams = counts_of(machine, [a.tail + b.head if a.closed and b.closed else "" for a, b in pairs]).tolist()
+    out = []
+    for (a, b), n in zip(pairs, seams, strict=True):
+        if a.closed and b.closed:
+            out.append(ChunkMap(a.head, a.count + n + b.count, b.tail, True))
+        elif a.closed:
+            out.append(ChunkMap(a.head, a.count, a.tail + b.head, True))
+        else:
+            out.append(ChunkMap(a.head + b.head, b.count, b.tail, b.closed))
+    return out
 
 
-def scan(machine: Transducer, maps: list[ChunkMap]) -> ChunkMap:
-    """Composition of the maps by a balanced tree, as a parallel scan's up-sweep does."""
-    while len(maps) > 1:
-        maps = [maps[i].then(machine, maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
+def scan(machine: Transducer, rows: list[list[ChunkMap]]) -> list[ChunkMap]:
+    """The composition of each row's maps: neighbours first, as in the up-sweep of a parallel scan."""
+    while any(len(r) > 1 for r in rows):
+        done = iter(compose(machine, [(r[i], r[i + 1]) for r in rows for i in range(0, len(r) - 1, 2)]))
+        rows = [[next(done) if i + 1 < len(r) else r[i] for i in range(0, len(r), 2)] for r in rows]
+    return [r[0] for r in rows]
 
 
-def count_long(machine: Transducer, text: str, chunk: int = CHUNK) -> int:
-    """Count of one normalised text through chunk maps."""
-    return scan(machine, [ChunkMap.of(machine, text[i : i + chunk]) for i in range(0, max(len(text), 1), chunk)]).total(machine)
+def count_normalised(machine: Transducer, texts: list[str], chunk: int | None = None) -> np.ndarray:
+    """Tokens of each normalised text without special strings, through the maps of its chunks."""
+    chunk = chunk or CHUNK
+    cut = [[t[i : i + chunk] for i in range(0, max(len(t), 1), chunk)] for t in texts]
+    maps = iter(state_maps(machine, [x for row in cut for x in row]))
+    whole = scan(machine, [[next(maps) for _ in row] for row in cut])
+    # From the empty word: the head ends one word and the end of the text another.
+    ends = counts_of(machine, [x for m in whole for x in (m.head, m.tail)]).reshape(-1, 2).sum(1)
+    return ends + np.array([m.count for m in whole], np.int64)
 
 
 _MACHINES: dict[str, Transducer] = {}
@@ -247,7 +280,7 @@ def count_texts(path: str, texts: list[str | None]) -> list[int]:
     def flush() -> None:
         nonlocal size
         if pieces:
-            np.add.at(out, owner, counts_of(machine, pieces))
+            np.add.at(out, owner, count_normalised(machine, pieces))
             pieces.clear(), owner.clear()
         size = 0
 
@@ -255,17 +288,14 @@ def count_texts(path: str, texts: list[str | None]) -> list[int]:
         if not text:
             continue
         parts = [text]
-        if machine.specials is not None and "<" in text:
+        if any(x in text for x in machine.special_texts):
             parts = machine.specials.split(text)
             out[row] += len(parts) - 1
-        for part in parts:
-            part = normalise(part)
-            if len(part) > 2 * CHUNK:
-                out[row] += count_long(machine, part)
-            elif part:
+        for part in map(normalise, parts):
+            if part:
                 pieces.append(part), owner.append(row)
                 size += len(part)
-                if size > CHUNK:
+                if size > SLICE:
                     flush()
     flush()
     return out.tolist()

@@ -25,7 +25,36 @@ def test_chunk_maps_compose_to_the_same_count():
     for text in ODD:
         if "<|" not in text:
             whole = tc.count_texts(PATH, [text])[0]
-            assert all(tc.count_long(machine, tc.normalise(text), n) == whole for n in (1, 2, 3, 7))
+            assert all(tc.count_normalised(machine, [tc.normalise(text)], n)[0] == whole for n in (1, 2, 3, 7))
+
+
+def test_maps_are_functions_of_the_state():
+    """Composition is associative and equals applying the maps one after another."""
+    tc.count_texts(PATH, ["x"])
+    machine, rnd = tc._MACHINES[PATH], random.Random(8)
+    for _ in range(200):
+        a, b, c = tc.state_maps(machine, ["".join(rnd.choice("abs' é1!") for _ in range(rnd.randint(0, 9))) for _ in range(3)])
+        one = lambda x, y: tc.compose(machine, [(x, y)])[0]
+        assert one(one(a, b), c) == one(a, one(b, c))
+        word, n = "wor", 0
+        for m in (a, b, c):
+            word, more = m.apply(machine, word)
+            n += more
+        assert one(one(a, b), c).apply(machine, "wor") == (word, n)
+
+
+def test_long_texts_and_full_tables(spark, monkeypatch):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdeé'1") for _ in range(rnd.randint(1, 12))) for _ in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=40_000)), "x" * 150_000 + " y", "<|endoftext|>" + "ab " * 60_000, " " * 200_000]
+    assert max(map(len, texts)) > 3 * tc.CHUNK
+    want = expected(texts)
+    monkeypatch.setattr(tc, "TABLE", 100)
+    tc._MACHINES.clear()
+    assert tc.count_texts(PATH, texts) == want == tc.count_texts(PATH, texts)
+    tc._MACHINES.clear()
+    rows = tc.query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    assert [r.n_tokens for r in sorted(rows)] == want
 
 
 def test_query_handles_nulls_repeats_and_extra_columns(spark):
