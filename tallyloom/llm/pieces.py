@@ -3,24 +3,30 @@
 A text is cut into marked words: a run of spaces goes with the word after it, and a
 line break is a piece of text of its own, since no piece of the vocabulary reaches
 over either border. The distinct words of a slice are sorted into a trie and visited
-depth first. Each trie node holds the forward state of its prefix: the one last
-piece that the best path can end in, and the path's score. Words with a common
-prefix reuse the states of the prefix, and encodings met before come from a bounded
-table keyed by the word's hash.
-
-The vocabulary is of merge type, where the best path is the one that merging makes.
-Its arcs are therefore the pieces that fit the piece before (see bpe.py): the path
-is unique, and equals the library's. Characters without a piece become byte pieces.
+depth first. Each trie node holds the forward state of its prefix: the last piece of
+the best path that ends there and, for unigram vocabularies, the path's score. Words
+with a common prefix reuse the states of the prefix, and encodings met before come
+from a bounded table keyed by the word's hash.
+
+Arcs of the lattice are the pieces that end at a prefix. For a unigram vocabulary the
+best of them is the one whose score, added to that of the prefix before it, is the
+highest. A vocabulary of merge type has ranks and no path scores: its best path is the
+one that merging makes, on which every two neighbours must be what merging makes of
+their own text (see bpe.py). At most one arc into each prefix passes that test, so the
+maximum is over one arc. Characters without a piece become byte pieces.
 
 Null and empty texts have no pieces and decode to the empty text. Runs of spaces,
 control characters and unknown characters survive a round trip; the mark character
-itself decodes as a space, as in the library. Repeated rows are encoded alike.
+itself decodes as a space, as in the library. Repeated rows are encoded alike. Other
+columns pass; those named like a result are replaced. Ties go to the shorter last piece.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,35 +44,94 @@ SLICE = 1 << 20
 _VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+#: Model types of the file format.
+UNIGRAM, MERGE = 1, 2
+#: Ids that the table of words may hold before it begins anew; what a character without a piece costs a unigram path.
+TABLE, UNKNOWN = 6_000_000, 10.0
+
+
+@dataclass
+class Vocabulary:
+    """Ordinary pieces and their scores by id, ids of the 256 byte pieces, number of ids and type."""
+
+    pieces: dict[int, str]
+    scores: dict[int, float]
+    byte_ids: list[int]
+    size: int
+    kind: int
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message in the protocol-buffer wire format."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+        else:
+            n = number() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield key >> 3, data[at : at + n]
+            at += n
+
+
+def read_model(path: str) -> Vocabulary:
+    """The parts of a model file that coding needs. Types other than unigram and merge are refused."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    trainer = next((v for k, v in _fields(model.serialized_model_proto()) if k == 2), b"")
+    kind = next((v for k, v in _fields(trainer) if k == 3), UNIGRAM)
+    n = model.get_piece_size()
+    ordinary = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+    return Vocabulary({i: model.id_to_piece(i) for i in ordinary}, {i: model.get_score(i) for i in ordinary}, byte_ids, n, kind)
+
+
 class Codec:
-    """Pieces of one model file, with the states shared by the words read so far."""
-
-    def __init__(self, path: str):
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        special = [model.is_control(i) or model.is_unknown(i) for i in range(n)]
-        self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
-        pieces = {i: model.id_to_piece(i) for i in range(n) if not special[i] and not model.is_byte(i)}
-        by_text = {v: k for k, v in pieces.items()}
-        scores = {i: model.get_score(i) for i in pieces}
-        ranks = {}
-        for i, text in pieces.items():
-            if set(text) == {MARK} and len(text) > 1:
-                continue  # runs of marks are cut greedily, after all other merges
-            for cut in range(1, len(text)):
-                if text[:cut] in by_text and text[cut:] in by_text:
-                    ranks[by_text[text[:cut]], by_text[text[cut:]]] = (int(-scores[i]), i)
-        self.trellis = TextTrellis({k: tuple(v) for k, v in pieces.items() if len(v) == 1 or set(v) != {MARK}}, ranks)
-        self.runs = sorted((len(v) for v in by_text if set(v) == {MARK}), reverse=True)
-        self.run_id = {len(v): k for v, k in by_text.items() if set(v) == {MARK}}
-        self.scores = scores
+    """Pieces of one vocabulary, with the states shared by the words read so far."""
+
+    def __init__(self, source: str | Vocabulary):
+        vocabulary = read_model(source) if isinstance(source, str) else source
+        pieces, self.scores, self.kind = vocabulary.pieces, vocabulary.scores, vocabulary.kind
+        if self.kind not in (UNIGRAM, MERGE):
+            raise ValueError(f"vocabularies of type {self.kind} are not supported")
+        if any(MARK in v.lstrip(MARK) or ("\n" in v and v != "\n") for v in pieces.values()):
+            raise ValueError("a piece reaches over the border of a word")
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int64)
+        self.by_text = {v: k for k, v in pieces.items()}
+        self.sizes = {k: len(v) for k, v in pieces.items()}
+        if self.kind == MERGE:
+            ranks = {}
+            for i, text in pieces.items():
+                if set(text) == {MARK} and len(text) > 1:
+                    continue  # runs of marks are cut greedily, after all other merges
+                for cut in range(1, len(text)):
+                    if text[:cut] in self.by_text and text[cut:] in self.by_text:
+                        ranks[self.by_text[text[:cut]], self.by_text[text[cut:]]] = (int(-self.scores[i]), i)
+            self.trellis = TextTrellis({k: tuple(v) for k, v in pieces.items() if len(v) == 1 or set(v) != {MARK}}, ranks)
+            self.runs = sorted((len(v) for v in self.by_text if set(v) == {MARK}), reverse=True)
+            self.run_id = {len(v): k for v, k in self.by_text.items() if set(v) == {MARK}}
+        else:
+            self.longest = max(map(len, self.by_text), default=1)
+            self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN
         surface = {i: v.encode() for i, v in pieces.items()} | {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
-        table = [surface.get(i, b"") for i in range(n)]
+        table = [surface.get(i, b"") for i in range(vocabulary.size)]
         self.surface_sizes = np.array([len(x) for x in table], np.int64)
         self.surface_begins = np.cumsum(self.surface_sizes) - self.surface_sizes
         self.surface = np.frombuffer(b"".join(table), np.uint8)
         self.path, self.last, self.forward = "", [], []
-        self.keys, self.begins, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.keys, self.begins, self.counts, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def run_pieces(self, n: int) -> list[int]:
         """Pieces of a run of n marks: the longest that still fits, again and again."""
@@ -80,51 +145,73 @@ class Codec:
         """Forward states of all prefixes of ``word``, from those that it shares with the word before."""
         same = common_prefix(self.path, word)
         del self.last[same:], self.forward[same:]
-        base, step, sizes = self.trellis.base, self.trellis.step_text, self.trellis.sizes
+        reach = self._merged if self.kind == MERGE else self._scored
         for n in range(same + 1, len(word) + 1):
-            piece = step(word, n, self.last) if word[n - 1] in base else -ord(word[n - 1]) - 1
-            before = n - sizes.get(piece, 1)
-            self.last.append(piece)
-            self.forward.append(self.scores.get(piece, 0.0) + (self.forward[before - 1] if before else 0.0))
+            reach(word, n)
         self.path = word
 
+    def _merged(self, word: str, n: int) -> None:
+        self.last.append(self.trellis.step_text(word, n, self.last) if word[n - 1] in self.trellis.base else -ord(word[n - 1]) - 1)
+
+    def _scored(self, word: str, n: int) -> None:
+        best, piece = -math.inf, 0
+        for begin in range(n - 1, max(-1, n - 1 - self.longest), -1):
+            found = self.by_text.get(word[begin:n])
+            if found is not None:
+                arc = self.scores[found]
+            elif begin == n - 1:
+                found, arc = -ord(word[n - 1]) - 1, self.unknown
+            else:
+                continue
+            score = arc + (self.forward[begin - 1] if begin else 0.0)
+            if score > best:
+                best, piece = score, found
+        self.forward.append(best)
+        self.last.append(piece)
+
+    def _path(self, word: str) -> list[int]:
+        """Pieces of the best path of a word, read backwards from its last state."""
+        self._states(word)
+        ids, at = [], len(word)
+        while at:
+            piece = self.last[at - 1]
+            ids.append(piece)
+            at -= self.sizes.get(piece, 1)
+        ids.reverse()
+        return ids
+
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of marked words in sorted order, that is, of the trie's leaves depth first."""
         for word in words:
-            bare = word.lstrip(MARK)
-            marks = len(word) - len(bare)
-            if not bare:
-                yield self.run_pieces(marks)
-                continue
-            marked = MARK + bare if marks else bare
-            self._states(marked)
-            ids, at = [], len(marked)
-            while at:
-                piece = self.last[at - 1]
-                ids.append(piece)
-                at -= self.trellis.sizes.get(piece, 1)
-            ids.reverse()
-            if marks and ids[0] == self.run_id[1]:
-                ids[:1] = self.run_pieces(marks)
-            elif marks > 1:
-                ids[:0] = self.run_pieces(marks - 1)
+            if self.kind == UNIGRAM:
+                ids = self._path(word)
+            else:
+                bare = word.lstrip(MARK)
+                marks = len(word) - len(bare)
+                ids = self._path(MARK + bare if marks else bare) if bare else []
+                if not bare:
+                    ids = self.run_pieces(marks)
+                elif marks and ids[0] == self.run_id[1]:
+                    ids[:1] = self.run_pieces(marks)
+                elif marks > 1:
+                    ids[:0] = self.run_pieces(marks - 1)
             if min(ids) < 0:
                 ids = [x for i in ids for x in ([i] if i >= 0 else self.byte_ids[list(chr(-i - 1).encode())].tolist())]
             yield ids
 
     def _table(self, keys: np.ndarray, words: list[str]) -> None:
         """Encode new words and add them to the table."""
-        if len(self.flat) > 6_000_000:  # bounded memory; words come back when met again
-            self.keys, self.begins, self.sizes, self.flat = self.keys[:0], self.begins[:0], self.sizes[:0], self.flat[:0]
+        if len(self.flat) > TABLE:  # bounded memory; words come back when met again
+            self.keys, self.begins, self.counts, self.flat = self.keys[:0], self.begins[:0], self.counts[:0], self.flat[:0]
         order = sorted(range(len(words)), key=words.__getitem__)
         found = list(self.encode_sorted([words[k] for k in order]))
         sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((i for x in found for i in x), np.uint16, int(sizes.sum()))
+        flat = np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
         begins = len(self.flat) + np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
         keys = np.concatenate((self.keys, keys[order]))
         place = np.argsort(keys, kind="stable")
         self.keys = keys[place]
-        self.begins, self.sizes = np.concatenate((self.begins, begins))[place], np.concatenate((self.sizes, sizes))[place]
+        self.begins, self.counts = np.concatenate((self.begins, begins))[place], np.concatenate((self.counts, sizes))[place]
         self.flat = np.concatenate((self.flat, flat))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,16 +237,16 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
         if len(new):
-            if len(self.flat) > 6_000_000:
+            if len(self.flat) > TABLE:
                 new = np.arange(len(distinct))
             spots = first[new]
             words = [data[a:b].decode("utf-8", "surrogatepass").replace(" ", MARK) for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)]
             self._table(distinct[new], words)
             at = np.searchsorted(self.keys, distinct)
         which = at[back]
-        sizes = self.sizes[which]
+        sizes = self.counts[which]
         before = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.repeat(self.begins[which] - before[:-1], sizes) + np.arange(before[-1])].astype(np.int32)
+        ids = self.flat[np.repeat(self.begins[which] - before[:-1], sizes) + np.arange(before[-1])]
         return ids, before[np.searchsorted(starts, offsets)]
 
     def decode(self, flat: np.ndarray, offsets: np.ndarray) -> list[str]:
