@@ -19,12 +19,15 @@
    one, else the rarer half of its words; ``ANSWER`` of them must be in the stretch.
 
 Documents are searched where they lie, without shuffling texts. The benchmark is
-taken in chunks of ``CHUNK`` passages, whose model (terms x rank) is broadcast only
-because its size is bounded by the chunk; a benchmark of any size is more chunks.
+taken in chunks of ``CHUNK`` distinct passages, whose model (terms x rank, the rank half
+the passages and ``RANK`` at most) is broadcast only because its size is bounded by the
+chunk. One pass over the texts searches ``TOGETHER`` chunks; a benchmark of any size is
+more passes, of which only the leaks found are written, and texts meet them by place.
 
 Null and empty texts leak nothing; items without a word match nothing, and very
-short ones only whole. Repeated documents are each searched; repeated items report
-each id. Extra columns, and a column named ``leaks``, don't disturb.
+short ones only whole. Repeated documents are each searched; equal items under several
+ids report each id, repeated rows of items count once. Extra columns pass, and a column
+named ``leaks`` is replaced.
 """
 
 from __future__ import annotations
@@ -37,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored
+from .shared import PLACE, located, stored
 from .textkernel import lean, mix, slices, tune, utf8, word_hashes
 
 BITS = 18
 CELL, PASSAGE = 24, 64
-RANK, CHUNK, POWER = 256, 1024, 2
+RANK, CHUNK, TOGETHER, POWER = 256, 1024, 4, 2
 COSINE, OVERLAP, ANSWER = 0.25, 0.6, 0.5
 GRAM = 3
 SHORT = 8
@@ -99,10 +102,10 @@ def passages(items: DataFrame) -> DataFrame:
     tune(items.sparkSession)
     answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit("")
     rows = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(answer, F.lit("")).alias("answer"))
-    found = stored(rows.mapInArrow(lean(_passages), "item_id long, words binary, answer binary"), "passages")
+    found = stored(rows.mapInArrow(lean(_passages), "item_id long, words binary, answer binary").distinct(), "passages")
     n = found.count()
     chunks = -(-n // CHUNK)
-    return found.withColumn("chunk", F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, chunks))).cast("int"))
+    return found.withColumn("chunk", F.pmod(F.xxhash64("item_id", "words", "answer"), F.lit(max(1, chunks))).cast("int"))
 
 
 def _passage_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,39 +360,60 @@ def best(found: list[dict]) -> list[dict]:
     return [by[k] for k in sorted(by)]
 
 
-def annotate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``leaks``: an array of (item_id, word, cosine, overlap, answer), empty for clean texts."""
-    spark = docs.sparkSession
-    tune(spark)
-    kept = docs.drop("leaks")
+def rank_of(n: int) -> int:
+    """Rank of the latent space of n passages: below theirs, so that it joins what occurs together."""
+    return min(RANK, max(8, n // 2))
+
+
+def indexes(docs: DataFrame, items: DataFrame, text: str) -> list[list]:
+    """Broadcast models of all chunks of the benchmark, by the pass over the texts that searches them."""
+    context = docs.sparkSession.sparkContext
     rare = document_frequencies(docs.select(F.col(text).alias("text")))
     found = passages(items)
     idf = passage_frequencies(found)
-    wide = spark.sparkContext.broadcast(idf)  # 2**BITS floats
-    out = kept.withColumn("leaks", F.array().cast(LEAKS))
-    schema = out.schema
-    for turn, chunk in enumerate(sorted(r.chunk for r in found.select("chunk").distinct().collect()), 1):
+    wide = context.broadcast(idf)  # 2**BITS floats
+    out = []
+    for chunk in sorted(r.chunk for r in found.select("chunk").distinct().collect()):
         rows = found.where(F.col("chunk") == chunk)
-        held = rows.orderBy("item_id", "words").collect()  # about CHUNK passages
-        basis = randomised_svd(rows.select("words"), wide, min(RANK, max(8, len(held))))
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in held], [np.frombuffer(r.words, np.uint64) for r in held], [np.frombuffer(r.answer, np.uint64) for r in held], basis, idf, rare))
-        out = out.mapInArrow(lean(_search(index, text)), schema)
-        if turn % 8 == 0:
-            out = stored(out, "leaks")  # a bounded number of models in one plan
-    return out
+        held = rows.orderBy("item_id", "words", "answer").collect()  # about CHUNK distinct passages
+        basis = randomised_svd(rows.select("words"), wide, rank_of(len(held)))
+        out.append(context.broadcast(Index([r.item_id for r in held], [np.frombuffer(r.words, np.uint64) for r in held], [np.frombuffer(r.answer, np.uint64) for r in held], basis, idf, rare)))
+    return [out[i : i + TOGETHER] for i in range(0, len(out), TOGETHER)]
 
 
-def _search(index, text: str):
+def annotate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """docs with ``leaks``: an array of (item_id, word, cosine, overlap, answer), empty for clean texts."""
+    tune(docs.sparkSession)
+    kept = docs.drop("leaks")
+    passes = indexes(kept, items, text)
+    none = F.array().cast(LEAKS)
+    if len(passes) < 2:
+        out = kept.withColumn("leaks", none)
+        return out.mapInArrow(lean(_search(passes[0], text)), out.schema) if passes else out
+    source = located(kept)
+    hits = None
+    for group in passes:
+        rows = source.select(*PLACE, text).withColumn("leaks", none)
+        new = stored(rows.mapInArrow(lean(_search(group, text)), rows.schema).where(F.size("leaks") > 0).select(*PLACE, F.explode("leaks").alias("leak")), "leaks")
+        hits = new if hits is None else hits.unionByName(new)
+    order = F.struct(-F.col("leak.overlap"), -F.col("leak.cosine"), "leak.word")
+    one = hits.groupBy(*PLACE, "leak.item_id").agg(F.min_by("leak", order).alias("leak"))
+    every = one.groupBy(*PLACE).agg(F.array_sort(F.collect_list("leak")).alias("leaks"))
+    return source.join(every, list(PLACE), "left").withColumn("leaks", F.coalesce("leaks", none)).drop(*PLACE)
+
+
+def _search(models: list, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(text))
-            leaks = batch.column("leaks").to_pylist()
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for lo, hi in slices(offsets):
-                for r, new in index.value.search(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).items():
-                    leaks[lo + r] = best((leaks[lo + r] or []) + new)
+                for model in models:
+                    for r, new in model.value.search(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).items():
+                        found[lo + r] = best(found[lo + r] + new)
             where = batch.schema.get_field_index("leaks")
             columns = list(batch.columns)
-            columns[where] = pa.array(leaks, pa.list_(pa.struct([("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("overlap", pa.float64()), ("answer", pa.float64())])))
+            columns[where] = pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("overlap", pa.float64()), ("answer", pa.float64())])))
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return run

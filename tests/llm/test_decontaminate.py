@@ -109,3 +109,34 @@ def test_a_passage_that_a_third_of_the_documents_hold(spark):
     assert all(d % 3 == 0 for d in got)
     changed = [d for d in range(0, 300, 9) if d in got]
     assert changed and all(got[d] == 10 / 15 for d in changed)
+
+
+def searched(index, texts):
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    return {(d, x["item_id"]) for d, xs in index.search(raw, np.cumsum([0, *(len(t) for t in texts)])).items() for x in xs}
+
+
+def test_candidates_equal_all_pairs_and_recall_by_cosine_alone(spark, monkeypatch):
+    docs, items, truth = world()
+    (model,), = dc.indexes(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), "text")
+    index, texts = model.value, [t for _, t in docs]
+    assert index.vectors.shape[1] == dc.rank_of(len(index.items)) < len(index.items)
+    found = searched(index, texts)
+    monkeypatch.setattr(dc.Index, "shared", lambda self, words, rows, cut: np.zeros((0, 2), np.int64))
+    by_cosine = searched(index, texts)
+    changed = {(d, i) for d, i in truth if d % 6 == 0}
+    assert len(by_cosine & changed) >= 0.9 * len(changed) and by_cosine <= found
+    # Every window against every passage: no candidate search at all.
+    monkeypatch.setattr(dc, "COSINE", -1e9)
+    assert searched(index, texts) == found == truth
+
+
+def test_more_chunks_than_a_pass_takes(spark, monkeypatch):
+    docs, items, truth = world(30)
+    df = spark.createDataFrame(docs + [(904, items[5][1])] * 2, "doc_id long, text string").repartition(3)
+    rows = spark.createDataFrame(items + items, "item_id long, text string")
+    whole = sorted((r.doc_id, r.item_id, r.overlap) for r in dc.query(df, rows).collect())
+    monkeypatch.setattr(dc, "CHUNK", 8)
+    monkeypatch.setattr(dc, "TOGETHER", 2)
+    assert sorted((r.doc_id, r.item_id, r.overlap) for r in dc.query(df, rows).collect()) == whole
+    assert dc.annotate(df, rows).columns == ["doc_id", "text", "leaks"] and {(d, i) for d, i, _ in whole} == truth | {(904, 5)}
