@@ -45,16 +45,29 @@ def bucket_cuts(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, borders), [len(keys)]))
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, one position of each, number of each position's key); by a fast unstable sort."""
+    by = np.argsort(keys)
+    ordered = keys[by]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return ordered[new], by[new], number
+
+
 def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(distinct keys, totals, totals in the order of each input)."""
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-    found, back = np.unique(np.concatenate(keys), return_inverse=True)
+    found, _, number = ranked(np.concatenate(keys))
     totals = np.zeros(len(found), np.int64)
-    np.add.at(totals, back, np.concatenate(counts))
-    answers = totals[back]
+    at = 0
+    for c in counts:  # keys are distinct within an input
+        totals[number[at : at + len(c)]] += c
+        at += len(c)
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return found, totals, np.split(answers, cuts)
+    return found, totals, np.split(totals[number], cuts)
 
 
-__all__ = ["BLOCK_BYTES", "bucket_cuts", "grouped", "merge_counts", "pack_counts", "pack_sorted", "runs", "unpack_counts", "unpack_sorted"]
+__all__ = ["BLOCK_BYTES", "bucket_cuts", "grouped", "merge_counts", "pack_counts", "pack_sorted", "ranked", "runs", "unpack_counts", "unpack_sorted"]

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, bucket_cuts, merge_counts, pack_counts, pack_sorted, runs, unpack_counts, unpack_sorted
-from .shared import buckets, discard, fold, located, stored
+from .blocks import BLOCK_BYTES, bucket_cuts, merge_counts, pack_counts, pack_sorted, ranked, runs, unpack_counts, unpack_sorted
+from .shared import buckets, collect_shuffles, fold, located, stored
 from .textkernel import hash_word, lean, mix, release, slices, tune, utf8, word_hashes
 
 _U = np.uint64
@@ -168,7 +168,9 @@ class Automaton:
     def __init__(self, word: np.ndarray, place: np.ndarray, counts: list[np.ndarray], n: int, v: int, strengths: tuple[float, ...]):
         """word, place: the tokens that will be read; counts: by length, of their distinct n-grams in order of key."""
         order, grams = len(counts), gram_keys(word, place, len(counts))
-        self.words, self.word = np.unique(word, return_inverse=True)
+        self.words, _, self.word = ranked(word)
+        if len(self.words) != len(counts[0]):
+            raise ValueError("the texts differ from those that were counted")
         self.width, self.start = len(self.words), 1
         self.counts, p1 = counts[0], (counts[0] + 1) / (n + v + 1)
         self.root = np.log10(p1)
@@ -183,8 +185,10 @@ class Automaton:
         chance = p1[self.word]  # by position: the smoothed chance of its word after the context so far
         for length in range(2, order + 1):
             key, at = grams[length - 1]
-            _, first, back = np.unique(key, return_index=True, return_inverse=True)
+            _, first, back = ranked(key)
             c, m, pos = counts[length - 1], strengths[length - 2], at[first]
+            if len(c) != len(pos):
+                raise ValueError("the texts differ from those that were counted")
             h = np.where(place[pos] > 0, ends[pos - 1], self.start)
             # Where the longest context before is a shorter one, this context is new to training: a count of zero.
             whole = (place[pos] == 0) | (self._length(fail, h) == length - 1)
@@ -207,7 +211,7 @@ class Automaton:
                 ends[at[known]] = made[back[known]]
             chance = chance.copy()
             chance[at] = p[back]
-        by = np.argsort(np.concatenate(arcs), kind="stable")
+        by = np.argsort(np.concatenate(arcs))
         self.arcs, self.weights, self.targets = (np.concatenate(x)[by] for x in (arcs, weights, targets))
         self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(mass)
 
@@ -268,8 +272,6 @@ def _score(n: int, v: int, order: int, strengths: tuple[float, ...]):
             first, last = np.searchsorted(lo, begin), np.searchsorted(lo, begin, "right")
             mine = answers.slice(int(first), int(last - first))
             counts = [np.concatenate([unpack_counts(x) for x in mine[f"c{k}"].to_pylist()]) for k in range(1, order + 1)]
-            if any(len(np.unique(k)) != len(c) for (k, _), c in zip(gram_keys(word, place, order), counts, strict=True)):
-                raise ValueError(f"block {key}: the texts differ from those that were counted")
             machine = Automaton(word, place, counts, n, v, strengths)
             total = lambda x, rows=b - a, row=row: np.bincount(row, x, rows)
             c = machine.counts[machine.word]
@@ -296,6 +298,8 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 3, strengths: tu
     n_ranges = buckets(rows, RANGE_BYTES)
     asked = rows.mapInArrow(lean(_ask(n_ranges, order)), _asked(order)).repartition(n_ranges, "bucket")
     answers = stored(asked.groupBy("bucket").applyInArrow(_answer(order), _answered(order)), "lm-counts")
+    del asked
+    collect_shuffles(docs.sparkSession)
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))).first()
     n_blocks = buckets(rows, BLOCK_BYTES)
     texts = rows.repartition(n_blocks, "file", "part").groupBy("file", "part")

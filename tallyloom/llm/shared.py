@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def collect_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of results that nothing refers to any more.
+
+    It does so when the driver collects garbage, which a driver with much memory rarely does.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote and that no result reads any more."""
     for df in tables:
