@@ -39,7 +39,8 @@ from .textkernel import hash_word, lean, mix, release, slices, tune, utf8, word_
 
 _U = np.uint64
 END, START = _U(hash_word("\n</s>")), _U(hash_word("\n<s>"))
-#: Dirichlet masses of contexts of one word, of two, ...
+#: Longest n-grams; each length more costs a 64-bit key for nearly every word in the shuffle. Dirichlet masses of contexts of one word, of two, ...
+ORDER = 2
 STRENGTHS = (20.0, 4.0)
 #: Bytes of input files for each key range; words that are read side by side in one stretch.
 RANGE_BYTES, STRETCH = 3 << 20, 64
@@ -283,7 +284,7 @@ def _score(n: int, v: int, order: int, strengths: tuple[float, ...]):
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, order: int = 3, strengths: tuple[float, ...] = STRENGTHS, block: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, strengths: tuple[float, ...] = STRENGTHS, block: int = BLOCK_BYTES) -> DataFrame:
     """Base and model scores of all texts; learns from rows where ``held_out`` is false.
 
     docs: doc_id, text. strengths: Dirichlet masses of contexts of one word and more.
