@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, bucket_cuts, merge_counts, pack_counts, pack_sorted, ranked, runs, unpack_counts, unpack_sorted
-from .shared import buckets, collect_shuffles, fold, located, stored
+from .shared import buckets, collect_shuffles, fold, located, parts, stored
 from .textkernel import hash_word, lean, mix, release, slices, tune, utf8, word_hashes
 
 _U = np.uint64
@@ -212,6 +212,7 @@ class Automaton:
                 ends[at[known]] = made[back[known]]
             chance = chance.copy()
             chance[at] = p[back]
+        del grams, ends, chance
         by = np.argsort(np.concatenate(arcs))
         self.arcs, self.weights, self.targets = (np.concatenate(x)[by] for x in (arcs, weights, targets))
         self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(mass)
@@ -276,6 +277,7 @@ def _score(n: int, v: int, order: int, strengths: tuple[float, ...]):
             machine = Automaton(word, place, counts, n, v, strengths)
             total = lambda x, rows=b - a, row=row: np.bincount(row, x, rows)
             c = machine.counts[machine.word]
+            del counts, mine, raw
             columns = [own["doc_id"], own["held_out"], np.bincount(row, minlength=b - a), total(c > 0).astype(np.int64), np.full(b - a, n), total(machine.root[machine.word]), total(machine.read(place, order - 1))]
             out.append(pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names))
         release()
@@ -284,7 +286,7 @@ def _score(n: int, v: int, order: int, strengths: tuple[float, ...]):
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, strengths: tuple[float, ...] = STRENGTHS, block: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, strengths: tuple[float, ...] = STRENGTHS, block: int = BLOCK_BYTES // 2) -> DataFrame:
     """Base and model scores of all texts; learns from rows where ``held_out`` is false.
 
     docs: doc_id, text. strengths: Dirichlet masses of contexts of one word and more.
@@ -293,16 +295,16 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, strengths
     tune(docs.sparkSession)
     rows = located(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"), F.col("__file").alias("file"), F.col("__at").alias("at"))
     size = F.octet_length("text") + 16
-    mean = rows.agg(F.coalesce(F.avg(size), F.lit(16.0))).first()[0]
+    count, mean = rows.agg(F.count("*"), F.coalesce(F.avg(size), F.lit(16.0))).first()
     each = max(1, int(block / mean))
     rows = rows.withColumn("part", F.when(size > F.lit(max(16 * mean, block / 8)), -1 - F.col("at")).otherwise(F.floor(F.col("at") / each)).cast("long"))
     n_ranges = buckets(rows, RANGE_BYTES)
     asked = rows.mapInArrow(lean(_ask(n_ranges, order)), _asked(order)).repartition(n_ranges, "bucket")
     answers = stored(asked.groupBy("bucket").applyInArrow(_answer(order), _answered(order)), "lm-counts")
     del asked
-    collect_shuffles(docs.sparkSession)
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))).first()
-    n_blocks = buckets(rows, BLOCK_BYTES)
+    collect_shuffles(docs.sparkSession)
+    n_blocks = max(parts(docs.sparkSession), 2 * int(count * mean / block))  # so many that few blocks share a task
     texts = rows.repartition(n_blocks, "file", "part").groupBy("file", "part")
     counts = answers.drop("tokens", "distinct_words").repartition(n_blocks, "file", "part").groupBy("file", "part")
     return texts.cogroup(counts).applyInArrow(_score(n, v, order, strengths), SCORED)
