@@ -140,15 +140,18 @@ def _featurise(bits: int):
 
 
 def sample(train: DataFrame, each: int) -> DataFrame:
-    """At most ``each`` training rows of each language, chosen by hash. Only ids and languages are sorted."""
+    """At most ``each`` training rows of each language, chosen by hash. Only marks and languages are shuffled.
+
+    The caller holds the languages' names, so one row for each is small enough to send out.
+    """
     mark = F.xxhash64(F.col("doc_id"), F.col("text"))
     marked = train.select("lang", "text", mark.alias("mark"))
     # The least marks of each salt, then of each language, so that no task sorts a whole language.
     first = lambda df, *by: df.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("mark"))).where(F.col("n") <= each).drop("n")
     salted = first(marked.select("lang", "mark").withColumn("salt", F.pmod("mark", F.lit(64))), "lang", "salt")
     cuts = first(salted.drop("salt"), "lang").groupBy("lang").agg(F.max("mark").alias("cut"))
-    # One row a language. Equal rows have equal marks: one of each is enough, and keeps the bound.
-    return marked.join(cuts, "lang").where(F.col("mark") <= F.col("cut")).groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    # One row a language goes to the texts. Equal rows have equal marks: one of each is enough, and keeps the bound.
+    return marked.join(F.broadcast(cuts), "lang").where(F.col("mark") <= F.col("cut")).groupBy("lang", "mark").agg(F.first("text").alias("text"))
 
 
 class Model:

@@ -47,7 +47,7 @@ _VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) |
 #: Model types of the file format.
 UNIGRAM, MERGE = 1, 2
 #: Ids that the table of words may hold before it begins anew; what a character without a piece costs a unigram path.
-TABLE, UNKNOWN = 6_000_000, 10.0
+TABLE, UNKNOWN = 4_000_000, 10.0
 
 
 @dataclass
