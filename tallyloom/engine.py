@@ -56,7 +56,7 @@ def sync(spark: SparkSession, root: str, generation: int, history: list[int] | N
     verdicts = cut(rules.evaluate(rules.Context(st, er), complete))
     raw = cut(c.assemble(verdicts))
     kept = c.marked(c.surviving(raw), c.oscillating(past), er.persons)
-    signals = c.scored(c.evidence(kept, er.candidates, st.payments, complete)).select("conflict_id", "confidence", "partial")
+    signals = c.scored(c.evidence(kept, er.candidates, complete)).select("conflict_id", "confidence", "partial")
     ready = cut(c.targeted(kept.join(signals, "conflict_id")))
     open_ = proposals if proposals is not None else spark.createDataFrame([], "fingerprint string")
     return Run(st, er, views(st, er), past, verdicts, raw, ready, c.propose(ready, open_), ledger, rejected)

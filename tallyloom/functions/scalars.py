@@ -85,17 +85,21 @@ def norm_dob(c: Column) -> Column:
 
 
 def variant_key(c: Column) -> Column:
-    """The form under which spellings of one vocabulary entry meet."""
-    return F.regexp_replace(F.lower(stripped(c)), r"[\s_\-./]+", "")
+    """The form under which spellings of one vocabulary entry meet: folded, without quotes, spaces, hyphens and underscores."""
+    return F.regexp_replace(F.regexp_replace(folded(c), f"[{QUOTES}]", ""), r"[\s\u001c-\u001f\u0085\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000_\-]+", "")
 
 
 def _vocabulary(values, aliases: dict[str, str] | None = None) -> dict[str, str]:
-    key = lambda v: "".join(x for x in v.lower() if x not in " _-./")
+    key = lambda v: "".join(x for x in v.lower() if x not in " _-")
     return {key(v): v for v in values} | {key(k): v for k, v in (aliases or {}).items()}
 
 
 #: Other spellings that sources use.
-GRADE_ALIASES = {"pre-k": "PK", "prek": "PK", "kindergarten": "K", "kg": "K"} | {f"{n}{s}": str(n) for n, s in ((1, "st"), (2, "nd"), (3, "rd"), *((n, "th") for n in range(4, 13)))} | {f"grade {n}": str(n) for n in range(1, 13)}
+ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth")
+GRADE_ALIASES = {"prek": "PK", "prekindergarten": "PK", "kg": "K", "kindergarten": "K", "grade k": "K"}
+for _n, _word in enumerate(ORDINALS, 1):
+    _short = f"{_n}{ {1: 'st', 2: 'nd', 3: 'rd'}.get(_n, 'th') }"
+    GRADE_ALIASES |= {f"{p}{x}": str(_n) for p, x in (("grade ", str(_n)), ("", _short), ("", _word), ("grade ", _short), ("grade ", _word))}
 VOCABULARIES = {
     "grade": _vocabulary(dims.GRADE_ORDER, GRADE_ALIASES),
     "program": _vocabulary(dims.PROGRAMS),
@@ -103,7 +107,7 @@ VOCABULARIES = {
     "deal_stage": _vocabulary(dims.DEAL_STAGES),
     "status": _vocabulary(dims.STATUSES),
     "lifecycle": _vocabulary(dims.LIFECYCLES),
-    "state": _vocabulary(dims.STATES),
+    "state": _vocabulary(dims.STATES, {name: code for code, name in dims.STATES.items()}),
     "payment_type": _vocabulary(dims.PAYMENT_TYPES),
     "payment_status": _vocabulary(dims.PAYMENT_STATUSES),
 }
@@ -192,10 +196,16 @@ def canon(c: Column, kind: str) -> Column:
 
 
 def fingerprint(kind: Column, refs: Column, fields: Column, values: Column) -> Column:
-    """sha256 over type, refs, fields and observed values; order of the inputs doesn't matter."""
+    """sha256 over type, refs, fields and observed values; order of the inputs doesn't matter.
+
+    Separators inside refs, fields and values are escaped, and null differs from every text.
+    """
     listed = lambda a: F.array_join(F.array_sort(F.transform(F.coalesce(a, F.array().cast("array<string>")), escaped)), FIELD_SEP)
-    pairs = F.transform(F.map_entries(F.coalesce(values, F.create_map().cast("map<string,string>"))), lambda e: F.concat(escaped(e["key"]), F.lit("="), F.coalesce(e["value"], F.lit(NULL_TOKEN))))
-    return F.sha2(F.concat_ws("|", kind, listed(refs), listed(fields), F.array_join(F.array_sort(pairs), FIELD_SEP)), 256)
+    # Lists come as canonical text, of which the items are escaped; all else is escaped here.
+    text = lambda e: F.coalesce(F.when(e["key"].isin(*dims.LIST_VALUES), e["value"]).otherwise(escaped(e["value"])), F.lit(NULL_TOKEN))
+    entries = F.array_sort(F.map_entries(F.coalesce(values, F.create_map().cast("map<string,string>"))))
+    pairs = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), text(e)))
+    return F.sha2(F.concat_ws("|", kind, listed(refs), listed(fields), F.array_join(pairs, FIELD_SEP)), 256)
 
 
 def row_hash(source: Column, entity: Column, key: Column, payload: Column) -> Column:

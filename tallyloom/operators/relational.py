@@ -192,6 +192,18 @@ def confidence(kind: Column, positive: list[Column], negative: list[Column], bas
     return F.bround(clamp(total), 4).cast("decimal(5,4)")
 
 
+def partition(conflicts: DataFrame, sensitive_rows: tuple[str, ...], row_of: Column) -> DataFrame:
+    """Of a C6 and a C14 with exactly the same refs one stays: C14 if all fields of both are of sensitive rows, else C6.
+
+    row_of: map of a field to its comparison row. A lone one always stays.
+    """
+    key = F.array_sort(F.array_distinct("refs"))
+    pairs = conflicts.where(F.col("type").isin("C6", "C14")).groupBy(key.alias("__refs")).agg(F.countDistinct("type").alias("n"), F.flatten(F.collect_set("fields")).alias("paths")).where("n = 2")
+    wholly = (F.size("paths") > 0) & F.forall("paths", lambda p: F.coalesce(F.try_element_at(row_of, p).isin(*sensitive_rows), F.lit(False)))
+    drop = pairs.select("__refs", F.when(wholly, "C6").otherwise("C14").alias("type"))
+    return conflicts.withColumn("__refs", key).join(drop, ["type", "__refs"], "left_anti").select(*conflicts.columns)
+
+
 def suppress(conflicts: DataFrame, winner: str, losers: tuple[str, ...], prefix: str | None = None) -> DataFrame:
     """Without the losers that share a ref with a winner. conflicts: conflict_id, type, refs.
 
@@ -207,15 +219,40 @@ def suppress(conflicts: DataFrame, winner: str, losers: tuple[str, ...], prefix:
 def precedence(conflicts: DataFrame, rules) -> DataFrame:
     """The rules one after another, each on the survivors of the one before.
 
-    Each rule refers to its input three times, so the lineage is cut between rules;
-    the conflict set is small against the records that it came from.
+    The refs of the types that take part are exploded once and written; the rules then
+    work on these narrow rows, and the conflicts are read once more at the end.
+    """
+    types = {row.type for row in conflicts.select("type").distinct().collect()}
+    able = [x for x in rules if x[1] in types and types.intersection(x[2])]
+    if not able:
+        return conflicts
+    part = sorted({t for _, winner, losers, _ in able for t in (winner, *losers)})
+    kept = cut(conflicts.where(F.col("type").isin(*part)).select("conflict_id", "type", F.explode("refs").alias("ref")).distinct())
+    lost = None
+    for _, winner, losers, prefix in able:
+        won = kept.where(F.col("type") == winner).select("ref")
+        if prefix:
+            won = won.where(F.col("ref").startswith(prefix))
+        hit = kept.where(F.col("type").isin(*losers)).join(won.distinct(), "ref", "left_semi").select("conflict_id").distinct()
+        hit = cut(hit)
+        kept = kept.join(hit, "conflict_id", "left_anti")
+        lost = hit if lost is None else lost.unionByName(hit)
+    return conflicts.join(lost, "conflict_id", "left_anti")
+
+
+def broken_precedence(conflicts: DataFrame, rules) -> DataFrame:
+    """What must not be left after the rules: (problem, conflict_id).
+
+    Repeated (type, refs) keys, and losers that still share a ref with a winner; types
+    that no rule orders may share refs freely.
     """
-    kept = cut(conflicts)
-    types = {row.type for row in kept.select("type").distinct().collect()}
-    for _, winner, losers, prefix in rules:
-        if winner in types and types.intersection(losers):
-            kept = cut(suppress(kept, winner, losers, prefix))
-    return kept
+    keys = conflicts.groupBy("type", F.array_sort("refs").alias("refs")).agg(F.count("*").alias("n"), F.min("conflict_id").alias("conflict_id")).where("n > 1").select(F.lit("repeated_key").alias("problem"), "conflict_id")
+    flat = conflicts.select("conflict_id", "type", F.explode("refs").alias("ref"))
+    order = [(w, x, p or "") for _, w, losers, p in rules for x in losers]
+    table = F.array(*(F.struct(F.lit(w).alias("winner"), F.lit(x).alias("loser"), F.lit(p).alias("prefix")) for w, x, p in order))
+    losers = flat.select("conflict_id", "ref", F.explode(F.filter(table, lambda r: r["loser"] == F.col("type"))).alias("r"))
+    left = losers.join(flat.select("ref", F.col("type").alias("winner")).distinct(), "ref").where((F.col("r.winner") == F.col("winner")) & F.col("ref").startswith(F.col("r.prefix")))
+    return keys.unionByName(left.select(F.lit("unsuppressed").alias("problem"), "conflict_id").distinct())
 
 
 def compound(conflicts: DataFrame) -> DataFrame:

@@ -61,10 +61,14 @@ def link_contacts(contacts: DataFrame, students: DataFrame) -> DataFrame:
 
 
 def link_payments(payments: DataFrame, students: DataFrame) -> DataFrame:
-    """By external reference; else the one child of the payer with that name; else the payer's only child."""
+    """By external reference; else the one child of the payer with that name; else the payer's only child.
+
+    The payer's children are those with that primary guardian; a second guardian's address links no payment.
+    """
     p = payments.select(F.col("source_ref").alias("payment_ref"), "external_ref", "email_norm", "first_norm", "last_norm")
     hard = p.join(students.select(F.col("student_id").alias("external_ref"), F.col("source_ref").alias("student_ref")), "external_ref").select("payment_ref", "student_ref", F.lit("P1").alias("method"))
-    rest, homes = p.join(hard, "payment_ref", "left_anti"), guardians(students).withColumnRenamed("mail", "email_norm")
+    rest = p.join(hard, "payment_ref", "left_anti")
+    homes = students.where("email_norm is not null").select(F.col("source_ref").alias("student_ref"), "email_norm", "first_norm", "last_norm")
     one = lambda df, m: df.groupBy("payment_ref").agg(F.min("student_ref").alias("student_ref"), F.countDistinct("student_ref").alias("n")).where("n = 1").select("payment_ref", "student_ref", F.lit(m).alias("method"))
     named = one(rest.join(homes, ["email_norm", "first_norm", "last_norm"]), "P2")
     only = homes.groupBy("email_norm").agg(F.min("student_ref").alias("student_ref"), F.countDistinct("student_ref").alias("n")).where("n = 1").drop("n")
@@ -121,17 +125,58 @@ def resolve(st: Staged) -> Resolved:
     return Resolved(links, paid, attributed, of_deal.join(keyed, "seed").select("deal_ref", "deal_id", "person_key"), match_candidates(st.contacts, st.students), persons.drop("seed"), every.join(keyed, "seed").select("person_key", "ref"))
 
 
+def households(students: DataFrame, contacts: DataFrame) -> DataFrame:
+    """household_key, anchor, children, members: students by primary guardian, then contacts with that address.
+
+    The least student ref is the anchor. Contacts whose address is no student's make no household.
+    """
+    kids = students.where("email_norm is not null").select(F.col("email_norm").alias("household_key"), F.lit(0).alias("rank"), F.col("source_ref").alias("ref"))
+    others = contacts.join(kids.select(F.col("household_key").alias("email_norm")).distinct(), "email_norm", "left_semi").select(F.col("email_norm").alias("household_key"), F.lit(1).alias("rank"), F.col("source_ref").alias("ref"))
+    grouped = kids.unionByName(others).groupBy("household_key").agg(F.array_sort(F.collect_list(F.struct("rank", "ref"))).alias("all"))
+    return grouped.select("household_key", F.col("all")[0]["ref"].alias("anchor"), F.size(F.filter("all", lambda x: x["rank"] == 0)).alias("children"), F.transform("all", lambda x: x["ref"]).alias("members"))
+
+
+#: Fields of a canonical view that survive, with the staged column each is read from.
+SURVIVED = {
+    "appdb.student.first_name": "x_first",
+    "appdb.student.last_name": "x_last",
+    "appdb.student.grade": "x_grade",
+    "appdb.student.status": "x_status",
+    "crm.contact.email": "c_email",
+    "crm.contact.lifecycle_stage": "c_lifecycle",
+    "crm.deal.stage": "d_stage",
+    "appdb.enrollment.program": "e_program",
+    "appdb.enrollment.stage": "e_stage",
+}
+
+
 def views(st: Staged, er: Resolved) -> DataFrame:
-    """One canonical document for each person: refs, sources, paid, stage and survived values."""
-    refs = er.person_refs.groupBy("person_key").agg(F.array_sort(F.collect_set("ref")).alias("entity_refs"))
-    paid = er.payment_links.join(st.payments.select(F.col("source_ref").alias("payment_ref"), "status_norm", "type_norm", "amount_cents"), "payment_ref")
-    money = paid.groupBy("student_ref").agg(F.bool_or(F.col("status_norm") == "paid").alias("paid"), F.array_sort(F.collect_list(F.struct(F.col("payment_ref").alias("ref"), F.col("type_norm").alias("type"), F.col("status_norm").alias("status"), "amount_cents"))).alias("payments"))
-    c = st.contacts.select(F.col("source_ref").alias("survived_contact_ref"), F.col("grade").alias("contact_grade"), F.col("email").alias("contact_email"), F.col("lifecycle_stage").alias("lifecycle"))
-    e = st.enrollments.select(F.col("source_ref").alias("survived_enrollment_ref"), "stage_funnel")
-    x = st.students.select(F.col("source_ref").alias("student_ref"), "first_name", "last_name", "dob", "grade", "status", F.coalesce("household_id", "email_norm").alias("household_key"))
-    j = er.persons.join(refs, "person_key").join(money, "student_ref", "left").join(c, "survived_contact_ref", "left").join(e, "survived_enrollment_ref", "left").join(x, "student_ref", "left")
-    survived = F.create_map(*[v for n in ("first_name", "last_name", "dob", "grade", "status", "contact_grade", "contact_email", "lifecycle") for v in (F.lit(n), F.col(n))])
-    return j.select("person_key", "anchor_ref", "identity_refs", "entity_refs", "household_key", s.sources_of(F.col("entity_refs")).alias("sources"), F.coalesce("paid", F.lit(False)).alias("paid"), (F.col("enrollment_count") > 0).alias("registered"), "stage_funnel", F.coalesce("payments", F.array().cast("array<struct<ref:string,type:string,status:string,amount_cents:bigint>>")).alias("payments"), survived.alias("survived"))
+    """One canonical document for each person: fourteen fields, values normalised.
+
+    Of several records of one kind the least ref survives; raw payment types and
+    statuses are shown as the source has them.
+    """
+    refs = er.person_refs.groupBy("person_key").agg(F.array_sort(F.collect_set("ref")).alias("entity_refs"), F.array_sort(F.collect_set(F.when(F.col("ref").startswith("crm:deal:"), F.col("ref")))).alias("deal_refs"))
+    spent = er.payment_enrollments.select("payment_ref", "method").join(er.payment_links.select("payment_ref", "student_ref"), "payment_ref")
+    ways = er.contact_links.select("student_ref", "method").unionByName(er.payment_links.select("student_ref", "method")).unionByName(spent.select("student_ref", "method")).distinct()
+    ways = ways.join(er.persons.select("student_ref", "person_key"), "student_ref").select("person_key", "method").unionByName(er.deal_persons.select("person_key", F.lit("D2").alias("method")))
+    ways = ways.groupBy("person_key").agg(F.array_sort(F.collect_set("method")).alias("link_methods"))
+    paid = er.payment_links.join(st.payments.select(F.col("source_ref").alias("payment_ref"), "payment_status", "payment_type", "amount_cents"), "payment_ref")
+    money = paid.groupBy("student_ref").agg(F.coalesce(F.bool_or(F.col("payment_status") == "paid"), F.lit(False)).alias("paid"), F.array_sort(F.collect_list(F.struct(F.col("payment_ref").alias("ref"), F.col("payment_type").alias("type"), F.col("payment_status").alias("status"), "amount_cents"))).alias("payments"))
+    one = lambda df, kind, **columns: df.select(F.col("source_ref").alias(f"survived_{kind}_ref"), *(F.col(v).alias(k) for k, v in columns.items()))
+    c = one(st.contacts, "contact", c_email="email_norm", c_lifecycle="lifecycle_norm")
+    d = one(st.deals, "deal", d_stage="stage_norm")
+    e = one(st.enrollments, "enrollment", e_program="program_norm", e_stage="stage_funnel")
+    x = st.students.select(F.col("source_ref").alias("student_ref"), F.col("first_norm").alias("x_first"), F.col("last_norm").alias("x_last"), F.col("grade_norm").alias("x_grade"), F.col("status_norm").alias("x_status"), F.col("email_norm").alias("household_key"))
+    j = er.persons.join(refs, "person_key").join(money, "student_ref", "left").join(ways, "person_key", "left")
+    j = j.join(c, "survived_contact_ref", "left").join(d, "survived_deal_ref", "left").join(e, "survived_enrollment_ref", "left").join(x, "student_ref", "left")
+    survived = F.create_map(*[v for k, n in SURVIVED.items() for v in (F.lit(k), F.col(n))])
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    return j.select(
+        "person_key", F.col("person_key").alias("canonical_id"), "anchor_ref", "entity_refs", "identity_refs", s.sources_of(F.col("entity_refs")).alias("sources"), "household_key", survived.alias("survived"),
+        (F.col("enrollment_count") > 0).alias("registered"), F.coalesce("paid", F.lit(False)).alias("paid"), F.col("e_stage").alias("stage_funnel"),
+        none("payments", "struct<ref:string,type:string,status:string,amount_cents:bigint>").alias("payments"), "deal_refs", none("link_methods", "string").alias("link_methods"),
+    )
 
 
 def lineage(st: Staged, er: Resolved) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans import dims
 from . import relational as r
+from ..functions import scalars as s
 from .resolve import Resolved, Staged
 
 RULES: dict[str, Callable[[Context], DataFrame]] = {}
@@ -41,12 +42,14 @@ def rule(number: int):
     return add
 
 
-def strings(*cols: Column) -> Column:
-    return F.array_compact(F.array(*cols)).cast("array<string>")
+def observed(**values: Column) -> Column:
+    """Map of observed values as text; two underscores in a name are a dot. Lists are canonical text."""
+    key = lambda k: k.replace("__", ".")
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(key(k)), s.canon(v, "array") if key(k) in dims.LIST_VALUES else v.cast("string"))])
 
 
-def observed(**values: Column) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k.replace("__", ".")), v.cast("string"))])
+def utc(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def stamped(df: DataFrame, entity: str, fires: Column, kind: str, refs: Column, values: Column, unchecked: Column | None = None, fields: Column | None = None) -> DataFrame:
@@ -71,14 +74,18 @@ def persons_of_students(ctx: Context) -> DataFrame:
     return ctx.staged.students.join(p.where("student_ref is not null").withColumnRenamed("student_ref", "source_ref"), "source_ref", "left")
 
 
-def paid_by_student(ctx: Context, *types: str) -> DataFrame:
-    """student_ref, paid: refs of its paid payments, of these types if any are named."""
-    pays = ctx.staged.payments.where("status_norm = 'paid'")
-    if types:
-        pays = pays.where(F.col("type_norm").isin(*types))
+def paid_by_student(ctx: Context) -> DataFrame:
+    """student_ref, paid: refs of its paid payments."""
+    pays = ctx.staged.payments.where("payment_status = 'paid'")
     return ctx.er.payment_links.join(pays.select(F.col("source_ref").alias("payment_ref")), "payment_ref").groupBy("student_ref").agg(F.array_sort(F.collect_set("payment_ref")).alias("paid"))
 
 
+def holders(ctx: Context) -> DataFrame:
+    """enrollment ref as source_ref, person_key and identity_refs of the person that it belongs to."""
+    people = ctx.er.persons.select("person_key", "identity_refs")
+    return ctx.er.person_refs.where(F.col("ref").startswith("appdb:enrollment:")).withColumnRenamed("ref", "source_ref").join(people, "person_key")
+
+
 @rule(0)
 def no_rule_in_scope(ctx):
     none = F.lit(None).cast("array<string>")
@@ -89,23 +96,23 @@ def no_rule_in_scope(ctx):
 def paid_but_no_deal(ctx):
     j = persons_of_students(ctx).join(paid_by_student(ctx), F.col("student_ref") == F.col("source_ref"), "left")
     fires = (F.size(F.coalesce("paid", F.array().cast("array<string>"))) > 0) & (F.col("enrollment_count") > 0) & (F.col("deal_count") == 0)
-    return stamped(j, "student", fires, "C1", F.col("identity_refs"), observed(paid_payment_refs=F.array_join("paid", ","), enrollment_count=F.col("enrollment_count"), deal_count=F.col("deal_count")))
+    return stamped(j, "student", fires, "C1", F.col("identity_refs"), observed(paid_payment_refs=F.col("paid"), enrollment_ref=F.col("survived_enrollment_ref"), d2_deal_count=F.col("deal_count")))
 
 
 @rule(2)
 def payment_with_no_person(ctx):
     j = ctx.staged.payments.join(ctx.er.payment_links.withColumnRenamed("payment_ref", "source_ref"), "source_ref", "left")
-    return stamped(j, "payment", F.col("student_ref").isNull(), "C2", F.array("source_ref"), observed(payer_email_norm=F.col("email_norm"), external_ref=F.col("external_ref")))
+    return stamped(j, "payment", F.col("student_ref").isNull(), "C2", F.array("source_ref"), observed(payer_email_norm=F.col("email_norm"), external_ref=F.col("external_ref"), metadata_name_pair_present=F.col("name_pair")))
 
 
 @rule(3)
 def duplicate_by_email(ctx):
     c = ctx.staged.contacts
     close = lambda a, b: F.col(f"{a}.dob_norm").isNull() | F.col(f"{b}.dob_norm").isNull() | (F.col(f"{a}.dob_norm") == F.col(f"{b}.dob_norm"))
-    pairs = r.unordered_pairs(c, ["email_norm", "first_norm", "last_norm"], "source_ref", close).select("left_id", "right_id")
-    both = pairs.select(F.explode(F.array("left_id", "right_id")).alias("source_ref"), "left_id", "right_id")
+    pairs = r.unordered_pairs(c, ["email_norm", "first_norm", "last_norm"], "source_ref", close)
+    both = pairs.select(F.explode(F.array("left_id", "right_id")).alias("source_ref"), "left_id", "right_id", F.col("l.dob_norm").alias("dob_a"), F.col("r.dob_norm").alias("dob_b"))
     j = c.join(both, "source_ref", "left")
-    return stamped(j, "contact", F.col("left_id").isNotNull(), "C3", F.array("left_id", "right_id"), observed(email_norm=F.col("email_norm"), first_norm=F.col("first_norm"), last_norm=F.col("last_norm")))
+    return stamped(j, "contact", F.col("left_id").isNotNull(), "C3", F.array("left_id", "right_id"), observed(email_norm=F.col("email_norm"), first_norm=F.col("first_norm"), last_norm=F.col("last_norm"), dob_norm_a=F.col("dob_a"), dob_norm_b=F.col("dob_b")))
 
 
 @rule(4)
@@ -116,38 +123,53 @@ def different_emails(ctx):
     people = ctx.er.persons.select("student_ref", "identity_refs")
     j = st.contacts.join(links, "source_ref", "left").join(homes, "student_ref", "left").join(people, "student_ref", "left")
     fires = (F.col("method") == "L3") & ~F.coalesce(F.array_contains("guardian_mails", F.col("email_norm")), F.lit(False))
-    return stamped(j, "contact", fires, "C4", F.col("identity_refs"), observed(contact_email_norm=F.col("email_norm"), student_guardian_email_norms=F.array_join("guardian_mails", ","), link_method=F.col("method")))
+    return stamped(j, "contact", fires, "C4", F.col("identity_refs"), observed(contact_email_norm=F.col("email_norm"), student_guardian_email_norms=F.col("guardian_mails"), link_method=F.col("method")))
 
 
 @rule(5)
 def one_source_only(ctx):
     fires = (F.col("status_funnel") == "enrolled") & (F.col("contact_count") == 0) & (F.col("payment_count") == 0)
-    return stamped(persons_of_students(ctx), "student", fires, "C5", F.col("identity_refs"), observed(status_norm=F.col("status_norm"), contact_count=F.col("contact_count"), payment_count=F.col("payment_count")))
+    return stamped(persons_of_students(ctx), "student", fires, "C5", F.col("identity_refs"), observed(status_funnel=F.col("status_funnel"), linked_contact_count=F.col("contact_count"), attributed_payment_count=F.col("payment_count")))
+
+
+#: For each compared field: the columns with its mapped and its raw value, on either side.
+SIDES = {
+    "name_first": ("c_first_norm", "c_first_name", "first_norm", "first_name"),
+    "name_last": ("c_last_norm", "c_last_name", "last_norm", "last_name"),
+    "dob": ("c_dob_norm", "c_dob", "dob_norm", "dob"),
+    "grade": ("c_grade_norm", "c_grade", "grade_norm", "grade"),
+    "stage": ("d_stage_funnel", "d_stage", "e_stage_funnel", "e_stage"),
+    "lifecycle": ("c_lifecycle_funnel", "c_lifecycle_stage", "status_funnel", "status"),
+}
 
 
 def comparisons(ctx: Context) -> DataFrame:
-    """source_ref of a student with, for each compared field that both sides name, both mapped values."""
+    """Students with ``pairs``: for each compared field both mapped values, and why it can't be compared if it can't."""
     st = ctx.staged
-    c = st.contacts.select(F.col("source_ref").alias("survived_contact_ref"), *(F.col(n).alias(f"c_{n}") for n in ("first_norm", "last_norm", "dob_norm", "grade_norm", "lifecycle_funnel")))
-    d = st.deals.select(F.col("source_ref").alias("survived_deal_ref"), F.col("stage_funnel").alias("d_stage"))
-    e = st.enrollments.select(F.col("source_ref").alias("survived_enrollment_ref"), F.col("stage_funnel").alias("e_stage"))
-    j = persons_of_students(ctx).join(c, "survived_contact_ref", "left").join(d, "survived_deal_ref", "left").join(e, "survived_enrollment_ref", "left")
-    sides = {"name_first": ("c_first_norm", "first_norm"), "name_last": ("c_last_norm", "last_norm"), "dob": ("c_dob_norm", "dob_norm"), "grade": ("c_grade_norm", "grade_norm"), "stage": ("d_stage", "e_stage"), "lifecycle": ("c_lifecycle_funnel", "status_funnel")}
-    each = F.array(*(F.struct(F.lit(n).alias("logical"), F.lit(left).alias("left_path"), F.lit(right).alias("right_path"), F.col(sides[n][0]).cast("string").alias("a"), F.col(sides[n][1]).cast("string").alias("b"), F.lit(why).alias("why")) for n, left, right, why in dims.COMPARED))
-    return j.withColumn("pairs", each)
+    side = lambda df, kind, short, names: df.select(F.col("source_ref").alias(f"survived_{kind}_ref"), *(F.col(n).alias(f"{short}_{n}") for n in names))
+    j = persons_of_students(ctx)
+    j = j.join(side(st.contacts, "contact", "c", ("first_norm", "first_name", "last_norm", "last_name", "dob_norm", "dob", "grade_norm", "grade", "lifecycle_funnel", "lifecycle_stage")), "survived_contact_ref", "left")
+    j = j.join(side(st.deals, "deal", "d", ("stage_funnel", "stage")), "survived_deal_ref", "left")
+    j = j.join(side(st.enrollments, "enrollment", "e", ("stage_funnel", "stage")), "survived_enrollment_ref", "left")
+    each = []
+    for n, left, right, why in dims.COMPARED:
+        a, raw_a, b, raw_b = (F.col(c).cast("string") for c in SIDES[n])
+        lost = F.when((a.isNull() & raw_a.isNull()) | (b.isNull() & raw_b.isNull()), "missing_operand").otherwise(why)
+        each.append(F.struct(F.lit(n).alias("logical"), F.lit(left).alias("left_path"), F.lit(right).alias("right_path"), a.alias("a"), b.alias("b"), F.when(a.isNull() | b.isNull(), lost).alias("why")))
+    return j.withColumn("pairs", F.array(*each))
 
 
 def _disagreement(ctx: Context, wholly: bool) -> DataFrame:
     j = comparisons(ctx)
-    differ = F.filter("pairs", lambda p: p["a"].isNotNull() & p["b"].isNotNull() & (p["a"] != p["b"]))
-    j = j.withColumn("differ", differ).withColumn("checked", F.size(F.filter("pairs", lambda p: p["a"].isNotNull() & p["b"].isNotNull())))
+    j = j.withColumn("differ", F.filter("pairs", lambda p: p["why"].isNull() & (p["a"] != p["b"])))
+    lost = F.transform("pairs", lambda p: p["why"])
+    # Nothing could be compared: the gravest reason stands.
+    none = F.when(~F.exists("pairs", lambda p: p["why"].isNull()), F.when(F.array_contains(lost, "missing_operand"), "missing_operand").when(F.array_contains(lost, "unparseable_value"), "unparseable_value").otherwise("unmapped_enum"))
     paths = F.array_sort(F.flatten(F.transform("differ", lambda p: F.array(p["left_path"], p["right_path"]))))
-    hot = [n for n, left, right, _ in dims.COMPARED if left in dims.SENSITIVE or right in dims.SENSITIVE]
-    sensitive = F.forall("differ", lambda p: p["logical"].isin(*hot))
-    linked = F.col("contact_count") > 0
-    fires = linked & (F.size("differ") > 0) & (sensitive if wholly else ~sensitive)
+    sensitive = F.forall("differ", lambda p: p["logical"].isin(*dims.WHOLLY_SENSITIVE))
+    fires = (F.col("contact_count") > 0) & (F.size("differ") > 0) & (sensitive if wholly else ~sensitive)
     values = F.map_from_entries(F.flatten(F.transform("differ", lambda p: F.array(F.struct(p["left_path"].alias("key"), p["a"].alias("value")), F.struct(p["right_path"].alias("key"), p["b"].alias("value"))))))
-    return stamped(j, "student", fires, "C14" if wholly else "C6", F.col("identity_refs"), values, F.when(linked & (F.col("checked") == 0), "missing_operand"), paths)
+    return stamped(j, "student", fires, "C14" if wholly else "C6", F.col("identity_refs"), values, none, paths)
 
 
 @rule(6)
@@ -158,15 +180,17 @@ def field_disagreement(ctx):
 @rule(7)
 def enrolled_but_unpaid(ctx):
     st = ctx.staged
-    people = persons_of_students(ctx).select("student_id", F.col("source_ref").alias("student_ref"), "identity_refs")
-    j = st.enrollments.join(people, "student_id", "left").join(paid_by_student(ctx, "deposit", "tuition"), "student_ref", "left")
-    fires = F.col("stage_funnel").isin(*dims.PAID_STAGES) & F.col("identity_refs").isNotNull() & F.col("paid").isNull()
-    return stamped(j, "enrollment", fires, "C7", F.array_append("identity_refs", F.col("source_ref")), observed(stage_funnel=F.col("stage_funnel")))
+    pays = st.payments.where(F.col("payment_status").eqNullSafe("paid") & F.col("payment_type").isin("deposit", "tuition")).select(F.col("source_ref").alias("payment_ref"))
+    paid = ctx.er.payment_enrollments.join(pays, "payment_ref").groupBy(F.col("enrollment_ref").alias("source_ref")).agg(F.count("*").alias("n_paid"))
+    j = st.enrollments.join(holders(ctx), "source_ref", "left").join(paid, "source_ref", "left")
+    fires = F.col("stage_funnel").isin(*dims.PAID_STAGES) & F.col("identity_refs").isNotNull() & F.col("n_paid").isNull()
+    values = observed(enrollment__stage_funnel=F.col("stage_funnel"), enrollment__deposit_paid_at=utc(F.col("deposit_paid_at")), paid_deposit_payment_count=F.coalesce("n_paid", F.lit(0)))
+    return stamped(j, "enrollment", fires, "C7", F.array_append("identity_refs", F.col("source_ref")), values)
 
 
 @rule(8)
 def dropped_sibling(ctx):
-    j = persons_of_students(ctx).withColumn("household", F.coalesce("household_id", "email_norm"))
+    j = persons_of_students(ctx).withColumn("household", F.col("email_norm"))  # the primary guardian's address alone
     e = ctx.staged.enrollments.select(F.col("source_ref").alias("survived_enrollment_ref"), F.col("stage_funnel").alias("e_stage"))
     j = j.join(e, "survived_enrollment_ref", "left")
     w = W.partitionBy("household")
@@ -182,15 +206,15 @@ def dropped_sibling(ctx):
 @rule(9)
 def stale_pointer(ctx):
     st, er = ctx.staged, ctx.er
-    people = persons_of_students(ctx).select("student_id", "person_key", "identity_refs")
-    names = er.deal_persons.join(er.persons.select("person_key", "anchor_ref"), "person_key").groupBy("deal_id").agg(F.array_sort(F.collect_set("anchor_ref")).alias("anchors"))
+    names = er.deal_persons.select("deal_id", "person_key").distinct().join(er.persons.select("person_key", "anchor_ref"), "person_key").groupBy("deal_id").agg(F.array_sort(F.collect_list("anchor_ref")).alias("anchors"))
     mine = er.deal_persons.select(F.col("deal_id").alias("crm_deal_id"), "person_key", F.lit(True).alias("mine")).distinct()
     deals = st.deals.select(F.col("deal_id").alias("crm_deal_id"), F.lit(True).alias("there")).distinct()
-    j = st.enrollments.join(people, "student_id", "left").join(deals, "crm_deal_id", "left").join(names.withColumnRenamed("deal_id", "crm_deal_id"), "crm_deal_id", "left").join(mine, ["crm_deal_id", "person_key"], "left")
+    j = st.enrollments.join(holders(ctx), "source_ref", "left").join(deals, "crm_deal_id", "left").join(names.withColumnRenamed("deal_id", "crm_deal_id"), "crm_deal_id", "left").join(mine, ["crm_deal_id", "person_key"], "left")
     known = F.col("crm_deal_id").isNotNull() & F.col("identity_refs").isNotNull()
     fires = known & (F.col("there").isNull() | (F.col("anchors").isNotNull() & F.col("mine").isNull()))
     lost = F.when(known & F.col("there").isNotNull() & F.col("anchors").isNull(), "deal_unresolved")
-    return stamped(j, "enrollment", fires, "C9", F.array_append("identity_refs", F.col("source_ref")), observed(enrollment__crm_deal_id=F.col("crm_deal_id"), deal_present=F.col("there").isNotNull(), deal_person_refs=F.array_join("anchors", ",")), lost)
+    values = observed(enrollment__crm_deal_id=F.col("crm_deal_id"), deal_present_gen3=F.col("there").isNotNull(), deal_person_refs=F.coalesce("anchors", F.array().cast("array<string>")))
+    return stamped(j, "enrollment", fires, "C9", F.array_append("identity_refs", F.col("source_ref")), values, lost)
 
 
 @rule(10)
@@ -198,45 +222,51 @@ def merge_collapsed(ctx):
     of = lambda k: F.when(F.col("key_class") == k, F.col("resolved_ref"))
     g = ctx.er.candidates.groupBy("source_ref").agg(F.count(of("ext")).alias("n_ext"), F.count(of("namedob")).alias("n_named"), F.min(of("ext")).alias("ext_ref"), F.min(of("namedob")).alias("named_ref"))
     fires = (F.col("n_ext") == 1) & (F.col("n_named") == 1) & (F.col("ext_ref") != F.col("named_ref"))
-    return stamped(ctx.staged.contacts.join(g, "source_ref", "left"), "contact", fires, "C10", F.array("source_ref", "ext_ref", "named_ref"), observed(ext_resolved_ref=F.col("ext_ref"), namedob_resolved_ref=F.col("named_ref")))
+    return stamped(ctx.staged.contacts.join(g, "source_ref", "left"), "contact", fires, "C10", F.array("source_ref", "ext_ref", "named_ref"), observed(ext_resolved_ref=F.col("ext_ref"), namedob_resolved_ref=F.col("named_ref"), first_norm=F.col("first_norm"), last_norm=F.col("last_norm"), dob_norm=F.col("dob_norm")))
 
 
 @rule(11)
 def duplicate_payment(ctx):
     p = ctx.staged.payments.join(ctx.er.payment_links.withColumnRenamed("payment_ref", "source_ref").select("source_ref", "student_ref"), "source_ref", "left")
-    keyed = p.where("student_ref is not null and amount_cents is not null").select("source_ref", "occurred_at", "student_ref", "amount_cents", F.coalesce("email_norm", F.lit("")).alias("payer"), F.coalesce("type_norm", F.lit("")).alias("kind"))
+    keyed = p.where("student_ref is not null and amount_cents is not null").select("source_ref", "occurred_at", "student_ref", "amount_cents", F.coalesce("email_norm", F.lit("")).alias("payer"), F.coalesce("payment_type", F.lit("")).alias("kind"))
     pairs = r.interval_pairs(keyed, ["payer", "amount_cents", "kind", "student_ref"], "occurred_at", "source_ref", dims.DUPLICATE_SECONDS)
     both = pairs.select(F.explode(F.array("left_id", "right_id")).alias("source_ref"), "left_id", "right_id", "gap_micros")
-    return stamped(p.join(both, "source_ref", "left"), "payment", F.col("left_id").isNotNull(), "C11", F.array("left_id", "right_id"), observed(amount_cents=F.col("amount_cents"), seconds_apart=F.round(F.col("gap_micros") / 1e6).cast("long")))
+    values = observed(payer_email_norm=F.coalesce("email_norm", F.lit("")), amount_cents=F.col("amount_cents"), type=F.coalesce("payment_type", F.lit("")), occurred_at_delta_seconds=F.round(F.col("gap_micros") / 1e6).cast("long"))
+    return stamped(p.join(both, "source_ref", "left"), "payment", F.col("left_id").isNotNull(), "C11", F.array("left_id", "right_id"), values)
+
+
+def attributed(ctx: Context) -> DataFrame:
+    """Payments with student_ref, identity_refs and enrollment_ref, where they have them."""
+    er = ctx.er
+    people = er.payment_links.select(F.col("payment_ref").alias("source_ref"), "student_ref").join(er.persons.select("student_ref", "identity_refs"), "student_ref")
+    return ctx.staged.payments.join(people, "source_ref", "left").join(er.payment_enrollments.select(F.col("payment_ref").alias("source_ref"), "enrollment_ref"), "source_ref", "left")
 
 
 @rule(12)
 def wrong_amount(ctx):
-    st, er = ctx.staged, ctx.er
-    own = er.payment_enrollments.select(F.col("payment_ref").alias("source_ref"), "enrollment_ref").join(st.enrollments.select(F.col("source_ref").alias("enrollment_ref"), F.col("program_norm").alias("e_program")), "enrollment_ref", "left")
-    people = er.payment_links.select(F.col("payment_ref").alias("source_ref"), "student_ref").join(er.persons.select("student_ref", "identity_refs"), "student_ref")
-    j = st.payments.join(own, "source_ref", "left").join(people, "source_ref", "left").withColumn("program", F.coalesce("e_program", "program_norm"))
-    fees = dims.fee_schedule(ctx.spark).select(F.col("program_norm").alias("program"), F.col("payment_type").alias("type_norm"), F.col("amount_cents").alias("expected"))
-    j = j.join(F.broadcast(fees), ["program", "type_norm"], "left")  # a dozen rows
+    e = ctx.staged.enrollments.select(F.col("source_ref").alias("enrollment_ref"), F.col("program_norm").alias("e_program"))
+    j = attributed(ctx).join(e, "enrollment_ref", "left").withColumn("program", F.coalesce("e_program", "program_norm"))
+    fees = dims.fee_schedule(ctx.spark).select(F.col("program_norm").alias("program"), "payment_type", F.col("amount_cents").alias("expected"))
+    j = j.join(F.broadcast(fees), ["program", "payment_type"], "left")  # a dozen rows
     why = F.when(F.col("program").isNull(), "enrollment_unattributed").when(F.col("type_norm").isNull() & F.col("payment_type").isNotNull(), "unmapped_enum")
-    refs = F.array_append(F.coalesce("identity_refs", F.array().cast("array<string>")), F.col("source_ref"))
+    refs = F.concat(F.coalesce("identity_refs", F.array().cast("array<string>")), F.array("source_ref"))
     return stamped(j, "payment", F.col("amount_cents") != F.col("expected"), "C12", refs, observed(amount_cents=F.col("amount_cents"), expected_amount_cents=F.col("expected"), program_norm=F.col("program"), type=F.col("payment_type")), why)
 
 
 @rule(13)
 def refund_not_reflected(ctx):
-    st, er = ctx.staged, ctx.er
-    links = er.payment_links.select(F.col("payment_ref").alias("source_ref"), "student_ref")
-    p = st.payments.join(links, "source_ref", "left")
-    later = p.where("status_norm = 'paid' and student_ref is not null").groupBy("student_ref", "type_norm").agg(F.max("occurred_at").alias("paid_last"))
-    own = er.payment_enrollments.select(F.col("payment_ref").alias("source_ref"), "enrollment_ref").join(st.enrollments.select(F.col("source_ref").alias("enrollment_ref"), "stage_funnel", F.col("updated_at").alias("enrolled_at")), "enrollment_ref", "left")
-    people = persons_of_students(ctx).select(F.col("source_ref").alias("student_ref"), "identity_refs", "status_funnel")
-    j = p.join(later, ["student_ref", "type_norm"], "left").join(own, "source_ref", "left").join(people, "student_ref", "left")
-    refunded = F.coalesce(F.col("status_norm") == "refunded", F.lit(False))
+    st = ctx.staged
+    p = attributed(ctx)
+    later = p.where("payment_status = 'paid' and student_ref is not null").groupBy("student_ref", "payment_type").agg(F.max("occurred_at").alias("paid_last"))
+    e = st.enrollments.select(F.col("source_ref").alias("enrollment_ref"), "stage_funnel", F.col("updated_at").alias("enrolled_at"))
+    x = st.students.select(F.col("source_ref").alias("student_ref"), "status", "status_funnel")
+    j = p.join(later, ["student_ref", "payment_type"], "left").join(e, "enrollment_ref", "left").join(x, "student_ref", "left")
+    refunded = F.coalesce(F.col("payment_status") == "refunded", F.lit(False))
     superseded = F.coalesce(F.col("paid_last") > F.col("occurred_at"), F.lit(False))
-    fires = refunded & ~superseded & (F.col("refunded_at") > F.col("enrolled_at")) & F.col("stage_funnel").isin(*dims.PAID_STAGES) & (F.col("status_funnel") == "enrolled")
-    why = F.when(refunded & F.col("enrollment_ref").isNull(), "enrollment_unattributed")
-    return stamped(j, "payment", fires, "C13", F.concat("identity_refs", F.array("source_ref", "enrollment_ref")), observed(refunded_at=F.col("refunded_at"), stage_funnel=F.col("stage_funnel")), why)
+    whole = F.col("student_ref").isNotNull() & F.col("enrollment_ref").isNotNull()
+    fires = refunded & whole & ~superseded & (F.col("refunded_at") > F.col("enrolled_at")) & F.col("stage_funnel").isin(*dims.PAID_STAGES) & (F.col("status_funnel") == "enrolled")
+    values = observed(refunded_at=utc(F.col("refunded_at")), enrollment__updated_at=utc(F.col("enrolled_at")), enrollment__stage_funnel=F.col("stage_funnel"), student__status=F.col("status"))
+    return stamped(j, "payment", fires, "C13", F.concat("identity_refs", F.array("source_ref", "enrollment_ref")), values, F.when(refunded & ~whole, "enrollment_unattributed"))
 
 
 @rule(14)

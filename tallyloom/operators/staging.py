@@ -36,7 +36,7 @@ def deals(landed: DataFrame) -> DataFrame:
     funnel = dims.lookup(stage, dims.DEAL_STAGES)
     return landed.select(
         *_common("crm", "deal"), "p.deal_id", "p.stage", p("amount").alias("amount_raw"), cents.alias("amount_cents"), s.micro_usd(cents).alias("amount_microusd"), p("associated_contact_ids").alias("contact_ids"),
-        funnel.alias("stage_funnel"), s.funnel_ord(funnel).alias("stage_funnel_ord"), s.norm_enum("program", p("pipeline")).alias("pipeline_norm"),
+        stage.alias("stage_norm"), funnel.alias("stage_funnel"), s.funnel_ord(funnel).alias("stage_funnel_ord"), s.norm_enum("program", p("pipeline")).alias("pipeline_norm"),
         _unchecked(**{"crm.deal.stage": (p("stage"), funnel, "unmapped_enum")}).alias("unchecked_fields"),
     )
 
@@ -56,7 +56,7 @@ def enrollments(landed: DataFrame) -> DataFrame:
     p = lambda c: F.col(f"p.{c}")
     stage = s.norm_enum("stage", p("stage"))
     return landed.select(
-        *_common("appdb", "enrollment"), p("id").alias("enrollment_id"), "p.student_id", "p.crm_deal_id", "p.stage", p("updated_at").try_cast("timestamp").alias("updated_at"), stage.alias("stage_funnel"), s.funnel_ord(stage).alias("stage_funnel_ord"),
+        *_common("appdb", "enrollment"), p("id").alias("enrollment_id"), "p.student_id", "p.crm_deal_id", "p.stage", p("deposit_paid_at").try_cast("timestamp").alias("deposit_paid_at"), p("updated_at").try_cast("timestamp").alias("updated_at"), stage.alias("stage_funnel"), s.funnel_ord(stage).alias("stage_funnel_ord"),
         s.norm_enum("program", p("program")).alias("program_norm"), s.norm_email(p("billing_owner_email")).alias("billing_owner_email_norm"),
         _unchecked(**{"appdb.enrollment.stage": (p("stage"), stage, "unmapped_enum")}).alias("unchecked_fields"),
     )
@@ -66,7 +66,7 @@ def payments(landed: DataFrame) -> DataFrame:
     p = lambda c: F.col(f"p.{c}")
     cents, kind = p("amount_cents").try_cast("long"), s.norm_enum("payment_type", p("type"))
     return landed.select(
-        *_common("payments", "payment"), "p.payment_id", "p.external_ref", p("type").alias("payment_type"), cents.alias("amount_cents"), s.micro_usd(cents).alias("amount_microusd"), p("occurred_at").try_cast("timestamp").alias("occurred_at"), p("refunded_at").try_cast("timestamp").alias("refunded_at"),
+        *_common("payments", "payment"), "p.payment_id", "p.external_ref", p("type").alias("payment_type"), p("status").alias("payment_status"), (p("metadata.student_first_name").isNotNull() & p("metadata.student_last_name").isNotNull()).alias("name_pair"), cents.alias("amount_cents"), s.micro_usd(cents).alias("amount_microusd"), p("occurred_at").try_cast("timestamp").alias("occurred_at"), p("refunded_at").try_cast("timestamp").alias("refunded_at"),
         s.norm_email(p("payer_email")).alias("email_norm"), s.norm_name(p("metadata.student_first_name")).alias("first_norm"), s.norm_name(p("metadata.student_last_name")).alias("last_norm"), s.norm_enum("program", p("metadata.program")).alias("program_norm"),
         kind.alias("type_norm"), s.norm_enum("payment_status", p("status")).alias("status_norm"), _unchecked(**{"payments.payment.type": (p("type"), kind, "unmapped_enum")}).alias("unchecked_fields"),
     )

@@ -14,13 +14,27 @@ FUNNEL = ("prospect", "applied", "waitlisted", "deposit_paid", "enrolled", "with
 DEAL_STAGES = {"New Lead": "prospect", "Application Submitted": "applied", "Waitlisted": "waitlisted", "Deposit Received": "deposit_paid", "Closed Won": "enrolled", "Closed Lost": "withdrawn", "Refunded": "refunded"}
 STATUSES = {"prospect": "prospect", "applied": "applied", "enrolled": "enrolled", "active": "enrolled", "withdrawn": "withdrawn"}
 LIFECYCLES = {"subscriber": None, "lead": "prospect", "marketingqualifiedlead": "prospect", "MQL": "prospect", "salesqualifiedlead": "applied", "SQL": "applied", "opportunity": "applied", "customer": "enrolled", "evangelist": None, "other": None}
-STATES = tuple("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split())
+STATES = {
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California",
+    "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware", "FL": "Florida", "GA": "Georgia",
+    "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa",
+    "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland",
+    "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi", "MO": "Missouri",
+    "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey",
+    "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio",
+    "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina",
+    "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont",
+    "VA": "Virginia", "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming",
+}
 PAYMENT_TYPES = ("fee", "deposit", "tuition")
 PAYMENT_STATUSES = ("paid", "refunded")
 FEES = {"Lower School": (10000, 50000, 1200000), "Middle School": (10000, 60000, 1400000), "Upper School": (10000, 75000, 1600000), "Summer Academy": (10000, 25000, 300000)}
 PAID_STAGES = ("deposit_paid", "enrolled")
 DUPLICATE_SECONDS = 600
 GRADE_FLOOR = GRADE_ORDER["K"]
+#: Observed values that are lists, and those whose presence corroborates an amount or date.
+LIST_VALUES = ("paid_payment_refs", "student_guardian_email_norms", "deal_person_refs")
+CORROBORATING = {"C1": ("paid_payment_refs", "enrollment_ref"), "C11": ("amount_cents", "occurred_at_delta_seconds"), "C12": ("amount_cents", "expected_amount_cents"), "C13": ("refunded_at", "enrollment.updated_at")}
 UNCHECKED = ("missing_operand", "unparseable_value", "unmapped_enum")
 #: logical name, contact- or deal-side path, student- or enrollment-side path, reason when a present value can't be mapped.
 COMPARED = (
@@ -77,6 +91,10 @@ TRANSITIONS = (
 )
 
 
+#: Compared fields of which both sides are sensitive.
+WHOLLY_SENSITIVE = tuple(n for n, left, right, _ in COMPARED if left in SENSITIVE and right in SENSITIVE)
+
+
 def money(text: str) -> Decimal:
     return Decimal(text)
 
@@ -92,7 +110,3 @@ def fee_schedule(spark: SparkSession) -> DataFrame:
     rows = [(p, t, c) for p, cents in FEES.items() for t, c in zip(PAYMENT_TYPES, cents, strict=True)]
     return spark.createDataFrame(rows, "program_norm string, payment_type string, amount_cents long")
 
-
-def compared_fields(spark: SparkSession) -> DataFrame:
-    rows = [(n, a, b, a in SENSITIVE or b in SENSITIVE, why) for n, a, b, why in COMPARED]
-    return spark.createDataFrame(rows, "logical string, left_path string, right_path string, sensitive boolean, unmapped_reason string")

@@ -126,7 +126,7 @@ def validate(rows: DataFrame, source: str, entity: str) -> DataFrame:
         .when(key.rlike(r"[\x00-\x1f\x7f]") | (F.length(key) > MAX_KEY), "bad_key")
         .when(F.col("raw").contains("\\u0000"), "unstorable_text")
     )
-    return parsed.select("line_no", "raw", "p", key.alias("natural_key"), reject.alias("reject"))
+    return parsed.select("line_no", "raw", "p", "tree", key.alias("natural_key"), reject.alias("reject"))
 
 
 def reject_duplicates(checked: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def read(spark: SparkSession, root: str, source: str, entity: str, generation: i
     """(accepted records with landing columns, rejected lines)."""
     checked = reject_duplicates(validate(lines(spark, root, source, entity, generation), source, entity))
     good = checked.where("reject is null")
-    payload = F.to_json("p", {"ignoreNullFields": "false"})
+    payload = F.to_json("tree")  # all keys of the source, also those without a column, in order of name
     landed = good.select(
         F.lit(source).alias("source_id"), F.lit(entity).alias("entity_type"), "natural_key", F.lit(generation).alias("generation"), payload.alias("payload"),
         s.row_hash(F.lit(source), F.lit(entity), F.col("natural_key"), payload).alias("row_hash"), "p",

@@ -110,7 +110,7 @@ def test_contradictory_keys_and_incomplete_sources_are_partial_evidence(world):
     reasons = lambda df: {r.conflict_id: set(r.partial) for r in df.select("conflict_id", "partial").collect()}
     merged = [r.conflict_id for r in run.conflicts.where("type = 'C10'").select("conflict_id").collect()]
     kept = run.conflicts.drop("partial", "confidence")
-    whole, degraded = (reasons(c.evidence(kept, run.er.candidates, run.staged.payments, x)) for x in (True, False))
+    whole, degraded = (reasons(c.evidence(kept, run.er.candidates, x)) for x in (True, False))
     assert whole == reasons(run.conflicts)
     assert merged and all("contradictory_match_keys" in whole[k] for k in merged)
     assert degraded == {k: v | {"incomplete_sources"} for k, v in whole.items()}
