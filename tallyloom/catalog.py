@@ -14,8 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import scalars as s
+from .operators import documents, privacy
 from .operators import relational as r
 from .plans import dims
+from .sources import snapshots
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -279,9 +281,9 @@ def fingerprint(t):
     return t.customer.select("c_custkey", print_.alias("fingerprint"))
 
 
-@entry("SELECT count(*) AS n_rows, CAST(coalesce(sum(CAST(CAST('0x' || substr(md5(n_name || chr(31) || n_nationkey || chr(31) || n_regionkey), 1, 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR) AS digest FROM nation")
+@entry("SELECT count(*) AS n_rows, CAST(coalesce(sum(CAST(CAST('0x' || substr(md5(c_acctbal || chr(31) || c_custkey || chr(31) || c_mktsegment || chr(31) || c_name || chr(31) || c_nationkey), 1, 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR) AS digest FROM customer")
 def mirror_digest(t):
-    return r.content_digest(t.nation)
+    return r.content_digest(t.customer)
 
 
 @entry("""
@@ -296,33 +298,38 @@ def grading_diff(t):
 @entry("""
 WITH e AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), f AS (SELECT DISTINCT user_id AS k FROM events WHERE user_id IS NOT NULL),
 c AS (SELECT count(*) FILTER (WHERE e.k IS NOT NULL AND f.k IS NOT NULL) AS matched, count(*) FILTER (WHERE f.k IS NULL) AS missing, count(*) FILTER (WHERE e.k IS NULL) AS extra FROM e FULL JOIN f ON e.k = f.k)
-SELECT matched, missing, extra FROM c
+SELECT matched, missing, extra, CAST(matched / nullif(matched + extra, 0) AS DECIMAL(6,4)) AS "precision", CAST(matched / nullif(matched + missing, 0) AS DECIMAL(6,4)) AS recall FROM c
 """)
 def grading_counts(t):
-    return r.precision_recall(grading_diff(t)).select("matched", "missing", "extra")
+    return r.precision_recall(grading_diff(t))
 
 
-@entry("SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 3 = 0) AS touched FROM customer WHERE c_custkey % 10 = 1")
+@entry("SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 3 = 0) AS touched FROM customer")
 def clean_probe(t):
-    """How many sampled clean records a conflict touches: overlap of ref arrays through a semi-join."""
-    clean = t.customer.where("c_custkey % 10 = 1").select(F.concat(F.lit("crm:contact:"), F.col("c_custkey").cast("string")).alias("ref"))
+    """How many records a conflict touches: overlap of ref arrays through a semi-join."""
+    every = t.customer.select(F.concat(F.lit("crm:contact:"), F.col("c_custkey").cast("string")).alias("ref"))
     hit = _conflicts(t).where("type = 'C8'").select(F.explode("refs").alias("ref")).distinct().withColumn("hit", F.lit(True))
-    return clean.join(hit, "ref", "left").agg(F.count("*").alias("n"), F.count("hit").alias("touched"))
+    return every.join(hit, "ref", "left").agg(F.count("*").alias("n"), F.count("hit").alias("touched"))
 
 
 # --- scalars ----------------------------------------------------------------------
 
 
-@entry("SELECT c_custkey, lower(replace(c_name, '#', '.')) || '@gmail.com' AS raw, replace(lower(replace(c_name, '#', '.')), '.', '') || '@gmail.com' AS email FROM customer")
+@entry("""
+SELECT c_custkey, replace(lower(replace(c_name, '#', '.')), '.', '') || '@gmail.com' AS short, lower(c_name) || 'é' || c_nationkey || '@schule.example' AS other FROM customer
+""")
 def norm_email(t):
-    raw = F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@gmail.com"))
-    spelled = F.concat(F.lit(" '"), F.upper(F.substring_index(raw, "@", 1)), F.lit("+tag@GMAIL.com' "))
-    return t.customer.select("c_custkey", raw.alias("raw"), s.norm_email(spelled, unicode=False).alias("email"))
+    """Quotes, case, dots and tags of one provider; other addresses only lose quotes and case, also beyond ASCII."""
+    dotted = F.concat(F.lit(" '"), F.upper(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("+tag@GMAIL.com' "))
+    other = F.concat(F.lit('  "'), F.col("c_name"), F.lit("É"), F.col("c_nationkey").cast("string"), F.lit('@Schule.Example" '))
+    return t.customer.select("c_custkey", s.norm_email(dotted).alias("short"), s.norm_email(other).alias("other"))
 
 
-@entry("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[''\"`‘’“”]', '', 'g'), '\\s+', ' ', 'g')) AS name FROM part")
+@entry("SELECT p_partkey, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS name, strip_accents(lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))) || ' elan oconner' AS accented FROM part")
 def norm_name(t):
-    return t.part.select("p_partkey", s.norm_name(F.concat(F.lit(" "), F.initcap("p_name"), F.lit("  ")), unicode=False).alias("name"))
+    """Case, spaces, quotes and accents."""
+    accented = F.concat(F.initcap("p_name"), F.lit("   ÉLAN\tO’Cönner "))
+    return t.part.select("p_partkey", s.norm_name(F.concat(F.lit(" "), F.initcap("p_name"), F.lit("  "))).alias("name"), s.norm_name(accented).alias("accented"))
 
 
 @entry("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS dob, CAST(NULL AS DATE) AS bad FROM orders")
@@ -339,10 +346,13 @@ def norm_enum(t):
     return t.customer.select("c_custkey", grade.alias("grade"), s.grade_ord(grade).alias("grade_ord"))
 
 
-@entry("SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(24,6)) * 100) AS BIGINT) AS cents FROM orders WHERE o_orderkey % 2 = 0")
+@entry("""
+WITH m AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(24,6)) * 1000000 AS HUGEINT) AS micros FROM orders)
+SELECT o_orderkey, CAST(micros // 10000 + CASE WHEN micros % 10000 > 5000 OR micros % 10000 = 5000 AND (micros // 10000) % 2 = 1 THEN 1 ELSE 0 END AS BIGINT) AS cents FROM m
+""")
 def money(t):
-    """Dollars as text to whole cents and micro-dollars."""
-    return t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", s.cents_from_dollars(F.col("o_totalprice").cast("decimal(24,6)").cast("string")).alias("cents"))
+    """Dollars as text to whole cents, half to even."""
+    return t.orders.select("o_orderkey", s.cents_from_dollars(F.col("o_totalprice").cast("decimal(24,6)").cast("string")).alias("cents"))
 
 
 @entry("SELECT c_custkey, substr(sha256('appdb:student:' || c_custkey), 1, 16) AS prefix, md5(c_name) AS md5 FROM customer")
@@ -351,19 +361,26 @@ def hashes(t):
     return t.customer.select("c_custkey", F.substring(F.sha2(name, 256), 1, 16).alias("prefix"), F.md5("c_name").alias("md5"))
 
 
-@entry(None)
+@entry(f"""
+WITH h AS (SELECT c_custkey, 'appdb:student:' || c_custkey AS name, sha1(from_hex('{s.NAMESPACE.replace("-", "")}') || encode('appdb:student:' || c_custkey)) AS h FROM customer)
+SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS person_key,
+  CAST(CAST('0x' || substr(sha256(name), 16, 1) AS INTEGER) % 2 AS INTEGER) AS shard FROM h
+""")
 def person_keys(t):
-    """Name-based UUIDs and tenant shards of customers; tests hold them against Python's uuid5."""
+    """Name-based UUIDs and tenant shards of customers."""
     name = F.concat(F.lit("appdb:student:"), F.col("c_custkey").cast("string"))
     return t.customer.select("c_custkey", s.uuid5(name).alias("person_key"), s.shard(name).alias("shard"))
 
 
-@entry("""
-SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+', '[pii:email]', 'g'), '\\+[0-9][0-9 ().-]+[0-9]', '[pii:phone]', 'g') AS text FROM conversations
-""")
+_DETECTED = "text"
+for _kind, _pattern in privacy.DETECTORS:
+    _DETECTED = f"regexp_replace({_DETECTED}, '{_pattern}', '[pii:{_kind}]', 'g')"
+
+
+@entry(f"SELECT conv_id, turn, {_DETECTED} AS text FROM (SELECT conv_id, turn, text || ' S-123456 HH-000001 2012-03-04' AS text FROM conversations)")
 def redact_text(t):
-    masked = F.regexp_replace(F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[pii:email]"), r"\+[0-9][0-9 ().-]+[0-9]", "[pii:phone]")
-    return t.conversations.select("conv_id", "turn", masked.alias("text"))
+    """Turns, with an identifier of each further kind at the end, without what the detectors know."""
+    return t.conversations.select("conv_id", "turn", privacy.scrubbed(F.concat("text", F.lit(" S-123456 HH-000001 2012-03-04"))).alias("text"))
 
 
 # --- ledgers ----------------------------------------------------------------------
@@ -389,10 +406,19 @@ def generation_plan(t):
     return slices.groupBy("generation").agg(F.when(F.bool_and("complete"), "landed").otherwise("pending").alias("state"), F.count("*").alias("slices"))
 
 
-@entry("SELECT count(*) AS n_read, count(*) FILTER (WHERE o_orderstatus <> 'P') + count(*) FILTER (WHERE o_orderstatus = 'P') AS accounted, count(DISTINCT o_orderkey) AS distinct_keys FROM orders")
+@entry("""
+WITH g AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS generation, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'P') AS good, count(*) FILTER (WHERE o_orderstatus = 'P') AS lost FROM orders GROUP BY 1)
+SELECT generation, n AS expected_count, good AS loaded_count, lost AS rejected_count, n = good AS complete, n = good + lost AS accounted FROM g
+""")
 def ledger_identity(t):
-    """What was read is what was loaded and rejected."""
-    return t.orders.agg(F.count("*").alias("n_read"), (F.count_if(F.col("o_orderstatus") != "P") + F.count_if(F.col("o_orderstatus") == "P")).alias("accounted"), F.countDistinct("o_orderkey").alias("distinct_keys"))
+    """The ledger over years as generations: what was expected is loaded or rejected, and complete if nothing is."""
+    year = F.year("o_orderdate").alias("generation")
+    keyed = [F.lit("shop").alias("source_id"), F.lit("order").alias("entity_type"), year]
+    landed = t.orders.where("o_orderstatus <> 'P'").select(*keyed, F.col("o_orderkey").cast("string").alias("natural_key"))
+    lost = t.orders.where("o_orderstatus = 'P'").groupBy(*keyed).agg(F.count("*").alias("n"))
+    expected = t.orders.groupBy(*keyed).agg(F.count("*").alias("expected_count"))
+    out = snapshots.ledger(landed, lost, expected)
+    return out.select("generation", "expected_count", "loaded_count", "rejected_count", "complete", (F.col("expected_count") == F.col("loaded_count") + F.col("rejected_count")).alias("accounted"))
 
 
 # --- pages and tops ---------------------------------------------------------------
@@ -563,29 +589,52 @@ def _documents(t) -> DataFrame:
     return t.customer.select("c_custkey", before.alias("before"), change.alias("change"))
 
 
+_flat = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+
+
 @entry("SELECT c_custkey, 'name=' || c_name || ';nation=' || c_nationkey || ';note=old;segment=BUILDING' AS after FROM customer")
 def doc_merge(t):
     """before with the change on top; last value wins."""
-    keep = F.map_filter("before", lambda k, v: ~F.map_contains_key("change", k))
-    after = F.map_concat(keep, "change")
-    text = F.array_join(F.array_sort(F.transform(F.map_entries(after), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
-    return _documents(t).select("c_custkey", text.alias("after"))
+    return _documents(t).select("c_custkey", _flat(documents.merged(F.col("before"), F.col("change"))).alias("after"))
 
 
 @entry("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'nation' ELSE 'nation,segment' END AS paths FROM customer")
 def write_set(t):
     """Paths that a change really writes."""
-    written = F.map_filter("change", lambda k, v: ~F.try_element_at("before", k).eqNullSafe(v))
-    return _documents(t).select("c_custkey", F.array_join(F.array_sort(F.map_keys(written)), ",").alias("paths"))
+    return _documents(t).select("c_custkey", F.array_join(documents.written(F.col("before"), F.col("change")), ",").alias("paths"))
+
 
+def _events(t) -> DataFrame:
+    """Applied changes of one known field; customers with a low balance have one more on top."""
+    d = _documents(t).select(F.col("c_custkey").alias("entity"), "before", F.create_map(F.lit("segment"), F.lit("BUILDING")).alias("change"), F.lit("approved").alias("status"), F.lit("segment").alias("target"))
+    first = documents.apply(d).withColumn("event_id", F.col("entity") * 2)
+    poor = t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("entity"))
+    again = first.join(poor, "entity").select("entity", F.col("after").alias("before"), F.create_map(F.lit("note"), F.lit("new")).alias("change"), F.lit("approved").alias("status"), F.lit("note").alias("target"))
+    return first.unionByName(documents.apply(again).withColumn("event_id", F.col("entity") * 2 + 1))
 
-@entry("SELECT c_custkey, sha256('name=' || c_name || ';note=old;segment=' || c_mktsegment) AS restored, true AS same FROM customer")
+
+@entry("""
+WITH d AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal < 0 AS poor FROM customer),
+e AS (SELECT c_custkey * 2 AS event_id, c_custkey AS entity, poor AS stale, 'name=' || c_name || ';note=old;segment=' || c_mktsegment AS doc FROM d WHERE c_mktsegment <> 'BUILDING'
+  UNION ALL SELECT c_custkey * 2 + 1, c_custkey, false, 'name=' || c_name || ';note=old;segment=BUILDING' FROM d WHERE poor AND c_mktsegment <> 'BUILDING')
+SELECT event_id, entity, CASE WHEN NOT stale THEN doc END AS doc, CASE WHEN stale THEN 'stale' END AS refused FROM e
+""")
 def rollback(t):
-    """Apply, then restore the stored document; digests before and after are equal."""
-    text = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
-    events = _documents(t).select("c_custkey", "before", F.map_concat(F.map_filter("before", lambda k, v: ~F.map_contains_key("change", k)), "change").alias("after"))
-    restored = events.select("c_custkey", F.sha2(text("before"), 256).alias("restored"), F.sha2(text("before"), 256).alias("was"))
-    return restored.select("c_custkey", "restored", (F.col("restored") == F.col("was")).alias("same"))
+    """Apply, then reverse: the last write of each document is taken back, one under a later write is refused."""
+    events = _events(t)
+    current = r.latest(events.select("entity", "event_id", "after"), ["entity"], ["event_id"]).select("entity", F.col("after").alias("doc"))
+    return documents.roll_back(events, current).select("event_id", "entity", _flat(F.col("doc")).alias("doc"), "refused")
+
+
+@entry("""
+WITH d AS (SELECT c_custkey, c_mktsegment, c_acctbal, c_nationkey FROM customer)
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'not_approved' WHEN c_nationkey < 5 THEN 'would_introduce' WHEN c_mktsegment = 'BUILDING' THEN 'no_op' END AS refused FROM d
+""")
+def apply_refusals(t):
+    """Why a change may not be applied: not approved, an unknown field, nothing to write."""
+    change = F.when(F.col("c_nationkey") < 5, F.create_map(F.lit("unknown"), F.lit("x"))).otherwise(F.create_map(F.lit("segment"), F.lit("BUILDING")))
+    d = _documents(t).select("c_custkey", "before").join(t.customer, "c_custkey").select("c_custkey", "before", change.alias("change"), F.when(F.col("c_acctbal") < 0, "pending").otherwise("approved").alias("status"), F.lit("segment").alias("target"))
+    return documents.refusals(d).select("c_custkey", "refused")
 
 
 # --- spend ------------------------------------------------------------------------

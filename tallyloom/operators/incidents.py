@@ -62,13 +62,43 @@ def leader_clusters(vectors: DataFrame, block: str, order: str, threshold: float
     return vectors.select(block, order, "vector").groupBy(block).applyInPandas(run, schema)
 
 
+def leaders(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """descriptor and ``turns``: from which fingerprint on which leader is its nearest, in one ordered pass over all types.
+
+    vectors: descriptor, first (its least fingerprint), vector. Conflicts come in order
+    of fingerprint; one joins the nearest leader within the threshold or becomes one.
+    Only the first conflict of a descriptor can become a leader, so the pass goes over
+    distinct descriptors, whose number follows the vocabulary and not the rows; a later
+    leader may take over the descriptors that it is nearer to.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("first")
+        names, matrix = rows["descriptor"].tolist(), np.array(rows["vector"].tolist(), float)
+        firsts, heads = rows["first"].tolist(), []
+        nearest = np.full(len(rows), np.inf)
+        turns: list[list[dict]] = [[] for _ in names]
+        for i in range(len(names)):
+            if nearest[i] <= threshold:
+                continue
+            heads.append(i)
+            d = np.round(1 - matrix @ matrix[i], 8)
+            d[i] = 0.0
+            for j in np.flatnonzero((d < nearest) & (d <= threshold)).tolist():
+                turns[j].append({"at": firsts[i], "leader": names[i], "distance": float(d[j])})
+            nearest = np.minimum(nearest, d)
+        return pd.DataFrame({"descriptor": names, "turns": turns})
+
+    return vectors.groupBy(F.lit(0)).applyInPandas(run, "descriptor string, turns array<struct<at:string,leader:string,distance:double>>")
+
+
 def cluster(conflicts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """conflict_id, incident, distance of every conflict."""
-    text = descriptors(conflicts)
-    kind = F.substring_index("descriptor", "\n", 1)
-    found = leader_clusters(embed(text).withColumn("type", kind), "type", "descriptor", threshold)
-    named = found.select("descriptor", F.sha2("cluster", 256).alias("incident"), F.col("distance").cast("decimal(10,8)").alias("distance"))
-    return text.join(named, "descriptor").select("conflict_id", "incident", "distance")
+    """conflict_id, incident, distance of every conflict; conflicts: with conflict_id and fingerprint."""
+    text = descriptors(conflicts).join(conflicts.select("conflict_id", "fingerprint"), "conflict_id")
+    firsts = text.groupBy("descriptor").agg(F.min("fingerprint").alias("first"))
+    turns = leaders(embed(text).join(firsts, "descriptor"), threshold)
+    own = text.join(turns, "descriptor").withColumn("turn", F.element_at(F.filter("turns", lambda t: t["at"] <= F.col("fingerprint")), -1))
+    return own.select("conflict_id", F.sha2("turn.leader", 256).alias("incident"), F.col("turn.distance").cast("decimal(10,8)").alias("distance"))
 
 
 def listed(members: DataFrame, conflicts: DataFrame, n: int = 10) -> DataFrame:

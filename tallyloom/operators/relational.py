@@ -5,9 +5,10 @@ Scale notes are given where a plan is not a plain hash aggregate or equi-join.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,7 +102,8 @@ def content_digest(df: DataFrame) -> DataFrame:
 
     Equal tables have equal digests in any order; sums combine, so no task sees all rows.
     """
-    text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)))
+    escaped = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\x1f"), F.lit("\\u001f"))
+    text = F.concat_ws("\x1f", *(F.coalesce(escaped(F.col(c).cast("string")), F.lit("\\N")) for c in sorted(df.columns)))
     number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest"))
 
@@ -121,24 +123,43 @@ def checked(value: str | None, allowed, what: str) -> str | None:
     return value
 
 
+def folded(df: DataFrame, scope: list[str], order: list[str], read: list[str], start: Callable[[], object], step: Callable[..., tuple], schema: str) -> DataFrame:
+    """df with the columns of ``schema`` that a sequential fold gives each row of a scope, in order.
+
+    start() makes the state of a scope, step(state, *values of ``read``) changes it and
+    returns the new columns. Rows come sorted and batch by batch, so a task holds one
+    batch and one state, whatever the size of a scope. Scopes run in parallel.
+    """
+    added = T.StructType.fromDDL(schema).fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            out: list[list] = [[] for _ in added]
+            keys = zip(*(batch.column(c).to_pylist() for c in scope), strict=True)
+            for key, values in zip(keys, zip(*(batch.column(c).to_pylist() for c in read), strict=True), strict=True):
+                if key != now:
+                    now, state = key, start()
+                for column, value in zip(out, step(state, *values), strict=True):
+                    column.append(value)
+            kinds = [pa.bool_() if f.dataType == T.BooleanType() else pa.int64() for f in added]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [*batch.schema.names, *(f.name for f in added)])
+
+    return df.repartition(*scope).sortWithinPartitions(*scope, *order).mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+
+
 def admit(df: DataFrame, scope: list[str], order: list[str], amount: str, cap: int) -> DataFrame:
     """df with granted and spent_after: requests of a scope in order, each granted if it still fits under the cap.
 
-    A refused request adds nothing, so this is a fold and no running sum. One scope is
-    sequential by nature; scopes run in parallel, and callers keep them bounded (a run, a day).
+    A refused request adds nothing, so this is a fold and no running sum.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("granted", T.BooleanType()), T.StructField("spent_after", T.LongType())])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        spent, granted, after = 0, [], []
-        for x in rows[amount].tolist():
-            ok = spent + int(x) <= cap
-            spent += int(x) if ok else 0
-            granted.append(ok), after.append(spent)
-        return rows.assign(granted=granted, spent_after=after)
-
-    return df.groupBy(*scope).applyInPandas(fold, schema)
+
+    def step(spent: list[int], x: int) -> tuple[bool, int]:
+        ok = spent[0] + x <= cap
+        spent[0] += x if ok else 0
+        return ok, spent[0]
+
+    return folded(df, scope, order, [amount], lambda: [0], step, "granted boolean, spent_after long")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

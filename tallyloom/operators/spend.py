@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +25,15 @@ def admitted_both(requests: DataFrame, run_cap: int, day_cap: int) -> DataFrame:
 
     requests: request_id, day, run, at, reserve.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema.fields) + ", granted boolean, day_spent long"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "request_id"], kind="stable")
-        day, runs, granted, after = 0, {}, [], []
-        for run, x in zip(rows["run"], rows["reserve"], strict=True):
-            ok = day + x <= day_cap and runs.get(run, 0) + x <= run_cap
-            if ok:
-                day += x
-                runs[run] = runs.get(run, 0) + x
-            granted.append(ok), after.append(day)
-        return rows.assign(granted=granted, day_spent=after)
-
-    return requests.groupBy("day").applyInPandas(fold, fields)
+
+    def step(state: dict, run: str, x: int) -> tuple[bool, int]:
+        ok = state["day"] + x <= day_cap and state["runs"].get(run, 0) + x <= run_cap
+        if ok:
+            state["day"] += x
+            state["runs"][run] = state["runs"].get(run, 0) + x
+        return ok, state["day"]
+
+    return r.folded(requests, ["day"], ["at", "request_id"], ["run", "reserve"], lambda: {"day": 0, "runs": {}}, step, "granted boolean, day_spent long")
 
 
 def usage_cost() -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import catalog
+from . import catalog, library
 
 
 def queries() -> dict:
-    return catalog.queries()
+    return catalog.queries() | library.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog.oracle_sql()
+    return catalog.oracle_sql() | library.oracle_sql()

@@ -30,8 +30,12 @@ def land(rows: DataFrame, path: str, load: str) -> int:
     seen = _existing(spark, path, new.schema).where(F.col("load_id") == load)
     if not seen.isEmpty():
         return 0
+    expected = new.count()
     new.write.mode("append").partitionBy(*LANDING_KEY).parquet(path)
-    return spark.read.parquet(path).where(F.col("load_id") == load).count()
+    written = spark.read.parquet(path).where(F.col("load_id") == load).count()
+    if written != expected:
+        raise IOError(f"load {load}: {expected} rows were to be written, {written} are there")
+    return written
 
 
 def replace_keys(old: DataFrame, new: DataFrame, key: str = "source_ref") -> DataFrame:
@@ -59,6 +63,21 @@ def worst_status(rows: DataFrame, key: list[str], status: str = "status") -> Dat
     return rows.groupBy(*key).agg(F.min_by(status, rank).alias(status))
 
 
+def append_incidents(members: DataFrame, path: str, batch: str) -> int:
+    """Append one batch of incidents with their members: incidents and members carry the batch's name.
+
+    members: conflict_id, incident, distance. A batch that is there already writes nothing.
+    """
+    spark = members.sparkSession
+    new = members.withColumn("batch", F.lit(batch))
+    sized = new.groupBy("batch", "incident").agg(F.count("*").alias("size"))
+    if not _existing(spark, f"{path}/incidents", sized.schema).where(F.col("batch") == batch).isEmpty():
+        return 0
+    new.write.mode("append").parquet(f"{path}/members")
+    sized.write.mode("append").parquet(f"{path}/incidents")  # last, so that a batch without it is not complete
+    return sized.count()
+
+
 def append(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("append").partitionBy(*by).parquet(path) if by else rows.write.mode("append").parquet(path)
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as s
+from ..operators import relational as r
 from ..plans.schemas import CENTS, DOLLARS, ENTITIES, INTS, TIMESTAMPS, fields
 
 T_ = TypeVar("T_")
@@ -164,6 +165,18 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
         return empty
 
 
+def golden(spark: SparkSession, path: str) -> DataFrame:
+    """type, entity_refs, disagreeing_fields of the expected conflicts, a JSON array in one file."""
+    rows = spark.read.schema("type string, entity_refs array<string>, disagreeing_fields array<string>").json(path, multiLine=True)
+    return rows.select("type", F.array_sort("entity_refs").alias("entity_refs"), F.array_sort(F.coalesce("disagreeing_fields", F.array().cast("array<string>"))).alias("disagreeing_fields"))
+
+
+def graded(conflicts: DataFrame, expected: DataFrame) -> DataFrame:
+    """Each (type, refs) key with its verdict: matched, missing or extra. conflicts: type, refs."""
+    key = lambda refs: F.array_join(F.array_sort(refs), s.FIELD_SEP).alias("refs")
+    return r.compare_sets(expected.select("type", key("entity_refs")), conflicts.select("type", key("refs")), ["type", "refs"])
+
+
 def ledger(landed: DataFrame, rejected: DataFrame, expected: DataFrame) -> DataFrame:
     """One row for each slice; complete only if an expectation exists and is met exactly.
 

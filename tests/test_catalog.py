@@ -1,6 +1,6 @@
 import pytest
 
-from tallyloom import catalog
+from tallyloom import registry as catalog
 from tests.oracle import DATA, connect, rows_of, twin
 
 
