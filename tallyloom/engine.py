@@ -44,6 +44,16 @@ def load(spark: SparkSession, root: str, generations: list[int]) -> tuple[Staged
     return Staged(*frames), cut(snapshots.ledger(c.union(landed_all), counts, snapshots.manifest(spark, f"{root}/manifest.json"))), lost
 
 
+def identity_layer(run: Run) -> dict[str, DataFrame]:
+    """The four tables of a run's identity layer: entities, links, refs and lineage."""
+    er = run.er
+    named = lambda df, source, target, kind: df.select(F.col(source).alias("source_ref"), F.col(target).alias("resolved_ref"), F.lit(kind).alias("link_class"), "method")
+    deals = er.deal_persons.withColumn("method", F.lit("D2"))
+    links = named(er.contact_links, "contact_ref", "student_ref", "contact_student").unionByName(named(er.payment_links, "payment_ref", "student_ref", "payment_person"))
+    links = links.unionByName(named(er.payment_enrollments, "payment_ref", "enrollment_ref", "payment_enrollment")).unionByName(named(deals, "deal_ref", "person_key", "deal_person"))
+    return {"entities": run.views, "links": links, "refs": er.person_refs, "lineage": run.lineage}
+
+
 def sync(spark: SparkSession, root: str, generation: int, history: list[int] | None = None, proposals: DataFrame | None = None) -> Run:
     """Detect over one generation; earlier ones give the history that oscillation needs."""
     history = history or [generation]

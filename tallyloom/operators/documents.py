@@ -36,9 +36,11 @@ def written(before: Column, change: Column) -> Column:
 
 
 def preview(before: Column, change: Column) -> Column:
-    """What applying would erase, collapse to null, or introduce."""
+    """What applying would erase to null, collapse from an object to a plain value, or introduce."""
+    nested = lambda v: F.coalesce(F.trim(v).startswith("{"), F.lit(False))
     return F.struct(
         F.array_sort(F.filter(F.map_keys(change), lambda k: F.map_contains_key(before, k) & F.try_element_at(change, k).isNull() & F.try_element_at(before, k).isNotNull())).alias("erased"),
+        F.array_sort(F.filter(F.map_keys(change), lambda k: nested(F.try_element_at(before, k)) & ~nested(F.try_element_at(change, k)) & F.try_element_at(change, k).isNotNull())).alias("collapsed"),
         F.array_sort(F.array_except(F.map_keys(change), F.map_keys(before))).alias("introduced"),
         (F.size(written(before, change)) == 0).alias("no_op"),
     )
@@ -53,6 +55,7 @@ def refusals(proposals: DataFrame) -> DataFrame:
         .when(F.size("change") == 0, "empty_action")
         .when(F.col("before").isNull(), "entity_missing")
         .when(F.size(p["erased"]) > 0, "would_erase")
+        .when(F.size(p["collapsed"]) > 0, "would_collapse")
         .when(F.size(p["introduced"]) > 0, "would_introduce")
         .when(p["no_op"], "no_op")
     )

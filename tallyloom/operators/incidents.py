@@ -89,7 +89,7 @@ def leaders(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             nearest = np.minimum(nearest, d)
         return pd.DataFrame({"descriptor": names, "turns": turns})
 
-    return vectors.groupBy(F.lit(0)).applyInPandas(run, "descriptor string, turns array<struct<at:string,leader:string,distance:double>>")
+    return vectors.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(run, "descriptor string, turns array<struct<at:string,leader:string,distance:double>>")
 
 
 def cluster(conflicts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

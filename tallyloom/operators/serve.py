@@ -79,5 +79,17 @@ def visible(df: DataFrame, role: str, tenant: int, column: str = "tenant") -> Da
     return df if role == "admin" else df.where(F.col(column) == tenant)
 
 
+def visible_refs(df: DataFrame, owners: DataFrame, role: str, tenant: int, key: str = "conflict_id", refs: str = "refs") -> DataFrame:
+    """Rows of which at least one ref belongs to the tenant; admins see all. owners: ref, tenant.
+
+    The refs are exploded once and met with the tenant's refs in a semi-join.
+    """
+    if role == "admin":
+        return df
+    mine = owners.where(F.col("tenant") == tenant).select("ref")
+    seen = df.select(key, F.explode(refs).alias("ref")).join(mine, "ref", "left_semi").select(key).distinct()
+    return df.join(seen, key, "left_semi")
+
+
 def rendered_status(status: Column, reason: Column) -> Column:
     return F.when(status == "escalated", F.concat(F.lit("escalated:"), F.coalesce(reason, F.lit("no_target")))).otherwise(status)

@@ -105,9 +105,9 @@ MALFORMED = {
 }
 
 
-def write(folder: str, generations: tuple[int, ...] = (1, 2, 3), malformed: bool = False) -> dict[str, list[str]]:
+def write(folder: str, generations: tuple[int, ...] = (1, 2, 3), malformed: bool = False, clean: int = 10) -> dict[str, list[str]]:
     """Write snapshots and a manifest; grades of one contact flip over the generations. Returns the plants."""
-    rows, planted = build()
+    rows, planted = build(clean)
     counts: dict[str, dict[str, int]] = {}
     flip = planted["C6"][0]
     for g in generations:

@@ -78,6 +78,25 @@ def append_incidents(members: DataFrame, path: str, batch: str) -> int:
     return sized.count()
 
 
+def materialise(tables: dict[str, DataFrame], path: str, generation: int) -> dict[str, int]:
+    """Write the tables of the identity layer once for a generation; rows written by table, zero if they are there.
+
+    tables: entities, links, refs, lineage. Each is partitioned by generation; a marker
+    is written last, so a run that failed half-way starts over.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    done = spark.createDataFrame([(generation, n) for n in sorted(tables)], "generation int, name string")
+    if not _existing(spark, f"{path}/done", done.schema).where(F.col("generation") == generation).isEmpty():
+        return dict.fromkeys(tables, 0)
+    written = {}
+    for name, df in tables.items():
+        place = f"{path}/{name}/generation={generation}"
+        df.drop("generation").write.mode("overwrite").parquet(place)
+        written[name] = spark.read.parquet(place).count()
+    done.coalesce(1).write.mode("append").parquet(f"{path}/done")
+    return written
+
+
 def append(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("append").partitionBy(*by).parquet(path) if by else rows.write.mode("append").parquet(path)
 
