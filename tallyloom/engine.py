@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,18 +31,19 @@ class Run:
 
 
 def load(spark: SparkSession, root: str, generations: list[int]) -> tuple[Staged, DataFrame, DataFrame]:
-    """(staging of all generations, ledger, rejected lines). Each slice is read, checked and typed on its own."""
-    built, landed_all, lost_all = {}, [], []
-    for (source, entity), spec in ENTITIES.items():
-        for g in generations:
-            landed, lost = snapshots.read(spark, root, source, entity, g)
-            built.setdefault((source, entity), []).append(staging.BUILDERS[source, entity](landed))
-            landed_all.append(landed.drop("p"))
-            lost_all.append(lost.withColumns({"source_id": F.lit(source), "entity_type": F.lit(entity), "generation": F.lit(g)}))
-    frames = [cut(c.union(built[k])) for k in (("crm", "contact"), ("crm", "deal"), ("appdb", "student"), ("appdb", "enrollment"), ("payments", "payment"))]
+    """(staging of all generations, ledger, rejected lines). Each slice is read and checked once, then typed."""
+    def one(key: tuple[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        source, entity = key
+        landed, lost = snapshots.read_all(spark, root, source, entity, generations)
+        named = lost.withColumns({"source_id": F.lit(source), "entity_type": F.lit(entity)})
+        return cut(staging.BUILDERS[key](landed)), landed.select("source_id", "entity_type", "generation", "natural_key"), named
+
+    # The five entities are loaded side by side, so that one with few files doesn't hold up the rest.
+    with ThreadPoolExecutor(len(ENTITIES)) as pool:
+        built, landed_all, lost_all = map(list, zip(*pool.map(one, (("crm", "contact"), ("crm", "deal"), ("appdb", "student"), ("appdb", "enrollment"), ("payments", "payment"))), strict=True))
     lost = cut(c.union(lost_all))
     counts = lost.groupBy("source_id", "entity_type", "generation").agg(F.count("*").alias("n"))
-    return Staged(*frames), cut(snapshots.ledger(c.union(landed_all), counts, snapshots.manifest(spark, f"{root}/manifest.json"))), lost
+    return Staged(*built), cut(snapshots.ledger(c.union(landed_all), counts, snapshots.manifest(spark, f"{root}/manifest.json"))), lost
 
 
 def identity_layer(run: Run) -> dict[str, DataFrame]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from typing import TypeVar
 
 from pyspark import InheritableThread
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as s
 from ..operators import relational as r
+from ..storage import cut
 from ..plans.schemas import CENTS, DOLLARS, ENTITIES, INTS, TIMESTAMPS, fields
 
 T_ = TypeVar("T_")
@@ -139,17 +141,29 @@ def reject_duplicates(checked: DataFrame) -> DataFrame:
     return marked.unionByName(checked.where(~good))
 
 
-def read(spark: SparkSession, root: str, source: str, entity: str, generation: int) -> tuple[DataFrame, DataFrame]:
-    """(accepted records with landing columns, rejected lines)."""
-    checked = reject_duplicates(validate(lines(spark, root, source, entity, generation), source, entity))
+def outcomes(checked: DataFrame, source: str, entity: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted records with landing columns, rejected lines) of checked lines with a generation."""
     good = checked.where("reject is null")
     payload = F.to_json("tree")  # all keys of the source, also those without a column, in order of name
     landed = good.select(
-        F.lit(source).alias("source_id"), F.lit(entity).alias("entity_type"), "natural_key", F.lit(generation).alias("generation"), payload.alias("payload"),
+        F.lit(source).alias("source_id"), F.lit(entity).alias("entity_type"), "natural_key", "generation", payload.alias("payload"),
         s.row_hash(F.lit(source), F.lit(entity), F.col("natural_key"), payload).alias("row_hash"), "p",
     )
     codes = F.create_map(*[F.lit(x) for kv in [*KINDS.items(), DUPLICATE] for x in kv])
-    return landed, checked.where("reject is not null").select("line_no", "raw", "reject", F.try_element_at(codes, F.col("reject")).alias("status"))
+    return landed, checked.where("reject is not null").select("line_no", "raw", "reject", F.try_element_at(codes, F.col("reject")).alias("status"), "generation")
+
+
+def read(spark: SparkSession, root: str, source: str, entity: str, generation: int) -> tuple[DataFrame, DataFrame]:
+    """(accepted records with landing columns, rejected lines) of one slice."""
+    checked = reject_duplicates(validate(lines(spark, root, source, entity, generation), source, entity)).withColumn("generation", F.lit(generation))
+    landed, lost = outcomes(checked, source, entity)
+    return landed, lost.drop("generation")
+
+
+def read_all(spark: SparkSession, root: str, source: str, entity: str, generations: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The same of several generations; their lines are parsed and checked once and written before they are parted."""
+    slices = [reject_duplicates(validate(lines(spark, root, source, entity, g), source, entity)).withColumn("generation", F.lit(g)) for g in generations]
+    return outcomes(cut(reduce(DataFrame.unionByName, slices)), source, entity)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

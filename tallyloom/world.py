@@ -17,7 +17,7 @@ from .storage import cut
 
 _HOME = "'home' || CAST(floor(c_custkey / 3) AS BIGINT) || '@x.example'"
 _DOB = "make_date(2008 + c_nationkey % 5, 1 + c_nationkey % 12, 1 + c_nationkey % 27)"
-_FIRST = "CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN lower(c_name) ELSE 'f' || CAST(floor(abs(c_acctbal) / 10) AS BIGINT) END"
+_FIRST = "CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'AUTOMOBILE') THEN lower(c_name) ELSE 'f' || CAST(floor(abs(c_acctbal) / 10) AS BIGINT) END"
 
 SELECTS = {
     "students": f"""
