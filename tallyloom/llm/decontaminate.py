@@ -19,8 +19,8 @@
    one, else the rarer half of its words; ``ANSWER`` of them must be in the stretch.
 
 Documents are searched where they lie, without shuffling texts. The benchmark is
-taken in chunks of ``CHUNK`` distinct passages, whose model (terms x rank, the rank half
-the passages and ``RANK`` at most) is broadcast only because its size is bounded by the
+taken in chunks of ``CHUNK`` distinct passages, whose model (terms x rank, the rank three quarters
+of the passages and ``RANK`` at most) is broadcast only because its size is bounded by the
 chunk. One pass over the texts searches ``TOGETHER`` chunks; a benchmark of any size is
 more passes, of which only the leaks found are written, and texts meet them by place.
 
@@ -362,7 +362,7 @@ def best(found: list[dict]) -> list[dict]:
 
 def rank_of(n: int) -> int:
     """Rank of the latent space of n passages: below theirs, so that it joins what occurs together."""
-    return min(RANK, max(8, n // 2))
+    return min(RANK, max(8, 3 * n // 4))
 
 
 def indexes(docs: DataFrame, items: DataFrame, text: str) -> list[list]:
