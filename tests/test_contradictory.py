@@ -32,7 +32,7 @@ def test_a_run_still_refuses_contradictory_conflicts(spark, repeated):
         c.assemble(rules.evaluate(context(spark, str(repeated[0]))))
 
 
-@pytest.mark.parametrize("name", ["conflict_set", "surviving_conflicts", "counts_by_type", "fix_targets", "conflict_scores"])
+@pytest.mark.parametrize("name", ["conflict_set", "surviving_conflicts", "counts_by_type", "fix_targets", "conflict_scores", "precedence_checks"])
 def test_contradictory_conflicts_all_stay(spark, repeated, name):
     folder, con = repeated
     got, names, _ = rows_of(library.queries()[name](spark, str(folder)))
