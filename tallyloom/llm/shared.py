@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import cut, shared_dir
+from ..storage import cut, place, shared_dir, stored, temporary  # noqa: F401
 
 
 #: Cut the lineage through a reliable checkpoint in the shared folder.
@@ -26,29 +25,6 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(parts)), F.lit(0)).cast("int")
 
 
-def _place(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def temporary(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    place, fs = _place(spark, path)
-    fs.deleteOnExit(place)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to a new table in the shared folder and read it back: smaller than a checkpoint, and columns prune."""
-    spark = df.sparkSession
-    path = temporary(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
 def collect_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of results that nothing refers to any more.
 
@@ -61,8 +37,8 @@ def collect_shuffles(spark: SparkSession) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote and that no result reads any more."""
     for df in tables:
-        place, fs = _place(df.sparkSession, df._stored_at)
-        fs.delete(place, True)
+        found, fs = place(df.sparkSession, df._stored_at)
+        fs.delete(found, True)
 
 
 #: Plan nodes that keep one row of a file one row.
